@@ -39,6 +39,9 @@ HEAD = regex.compile(r"^\s*([\p{L}\p{M}\p{N}!|$'’]+(?:-[\p{L}\p{M}\p{N}!|$'’
 NUMBER_LINE = regex.compile(r"^[\s\-–—\[(|.·]*(?:(?:page|p|pag|seite|s|página|pág|стр)\.?\s*)?(?:\d{1,5}|[ivxlc]{1,8}|[IVXLC]{1,8}|[0-9lOIo]{1,4})(?:\s*(?:/|of|von|de|sur)\s*\d{1,5})?[\s\-–—\])|·]*$")
 EDGE_NUMBER = regex.compile(r"^[\W\d]*(?:(?:page|seite|página)\b)?[\W\d]*\s+|\s+(?:(?:page|seite|página)\b)?[\W\d]*$|^[ivxlc]+\s{2,}|\s{2,}[ivxlc]+$", regex.IGNORECASE)
 TOKEN = regex.compile(r"\S+")
+#: Names of files and the like, and figures with a unit.
+COMPOUND = regex.compile(r"\p{L}[./@:\\]\p{L}|\d[./@:\\]\p{L}|\p{L}[./@:\\]\d|//|<\|")
+UNIT = regex.compile(r"\d+\p{L}{1,3}")
 TRIM = "\"“”„«»()[]{}.,;:?…–—‘’*•"
 #: The signs that a scanner puts within or beside a word.
 ODD = "!|$@€"
@@ -68,16 +71,18 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            native, scanned = Counter(), Counter()
+            raw = {True: Counter(), False: Counter()}
             for text, source in zip(batch["raw_text"], batch["text_source"]):
-                into = scanned if source == "ocr" else native
-                for line in skeleton(text).split("\n"):
-                    for token in TOKEN.findall(line):
-                        w = word_of(token).lower()
-                        if w and w[0] not in SIGN and w[-1] not in SIGN and any(ch.isalpha() for ch in w):
-                            into[w] += 1
-                            if "-" in w:
-                                into.update(p for p in w.split("-") if p)
+                raw[source == "ocr"].update(skeleton(text).lower().split())
+            native, scanned = Counter(), Counter()
+            for ocr, into in ((False, native), (True, scanned)):
+                for token, n in raw[ocr].items():
+                    w = word_of(token)
+                    if w and w[0] not in SIGN and w[-1] not in SIGN and any(ch.isalpha() for ch in w):
+                        into[w] += n
+                        if "-" in w:
+                            for part in filter(None, w.split("-")):
+                                into[part] += n
             words = list(native | scanned)
             yield pd.DataFrame({"word": words, "native": [native[w] for w in words], "scanned": [scanned[w] for w in words]})
 
@@ -214,7 +219,7 @@ class Reading:
         lines = self.furniture.groupBy("id").agg(F.collect_set("line_no").alias("skip"))
         self.marked = self.scans.join(lines, "id", "left").select("id", "raw_text", "skip")
         self.tokens = cut_lineage(self._tokens())
-        self._look_up(once)
+        self._look_up()
 
     def _tokens(self) -> DataFrame:
         def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,8 +231,7 @@ class Reading:
 
         return self.marked.mapInPandas(tokens, "id string, line_no int, at int, word string, sign string, cut_at int, hyphened string, previous string, following string")
 
-    def _look_up(self, once: DataFrame) -> None:
-        spark = once.sparkSession
+    def _look_up(self) -> None:
         w = self.words.select("word", "native", "scanned")
         # splits first: how the corpus writes the word
         s = self.tokens.where("sign <> ''")
@@ -266,25 +270,17 @@ class Reading:
             return pd.DataFrame(out, columns=["part", "meant", "cost", "n"])
 
         self.candidates = cut_lineage(a.groupBy("shard", "chunk").cogroup(q.groupBy("shard", "chunk")).applyInPandas(found, "part string, meant string, cost int, n long"))
-        self._rank(once)
+        self._rank()
 
-    def _rank(self, once: DataFrame) -> None:
+    def _rank(self) -> None:
         """The best candidate of each occurrence; where several of one cost compete, the neighbouring words count first."""
         several = self.candidates.groupBy("part").agg(F.count("*").alias("k"), F.min("cost").alias("least"))
         close = self.candidates.join(several, "part").where("cost = least")
         near = self.unknown.join(close, "part").select("id", "line_no", "at", "part", "meant", "cost", "n", "k", "previous", "following")
         asked = near.where("k > 1").select(F.explode(F.array(F.struct(F.col("previous").alias("x"), F.col("meant").alias("y")), F.struct(F.col("meant").alias("x"), F.col("following").alias("y")))).alias("b")).select("b.x", "b.y").where("x <> '' and y <> ''").distinct()
 
-        def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                seen = Counter()
-                for text in batch["raw_text"]:
-                    ws = [word_of(t).lower() for t in TOKEN.findall(skeleton(text))]
-                    seen.update(zip(ws, ws[1:]))
-                yield pd.DataFrame([(x, y, n) for (x, y), n in seen.items()], columns=["x", "y", "m"])
-
-        together = once.where("text_source is null or text_source <> 'ocr'").select("raw_text").mapInPandas(pairs, "x string, y string, m long")
-        together = together.join(asked, ["x", "y"], "left_semi").groupBy("x", "y").agg(F.sum("m").alias("m"))
+        # neighbours are counted over all words of all scanned pages
+        together = self.tokens.where("previous <> ''").groupBy(F.col("previous").alias("x"), F.col("word").alias("y")).agg(F.count("*").alias("m")).join(asked, ["x", "y"], "left_semi")
         before = together.select(F.col("x").alias("previous"), F.col("y").alias("meant"), F.col("m").alias("mb"))
         after = together.select(F.col("x").alias("meant"), F.col("y").alias("following"), F.col("m").alias("ma"))
         scored = near.join(before, ["previous", "meant"], "left").join(after, ["meant", "following"], "left").fillna(0, ["mb", "ma"])
@@ -341,12 +337,15 @@ def block_tokens(text: str, skip: set[int]) -> list[tuple]:
                 taken = after.end()
         for t in TOKEN.finditer(line, start, end):
             raw = t.group()
-            if regex.search(r"\p{L}[./@:\\]\p{L}|\d[./@:\\]\p{L}|\p{L}[./@:\\]\d|//|<\|", raw):
+            if raw.isalpha():
+                out.append([n, t.start(), raw.lower(), "", 0, ""])
                 continue
             w = word_of(raw)
-            if raw.rstrip(".,;:?)”\"").endswith("'") and w and not raw.startswith("'"):
+            if not w.isalpha() and COMPOUND.search(raw):
+                continue
+            if "'" in raw and raw.rstrip(".,;:?)”\"").endswith("'") and w and not raw.startswith("'"):
                 w = raw.strip(TRIM.replace("’", ""))
-            if any(ch.isalpha() for ch in w) and not regex.fullmatch(r"\d+\p{L}{1,3}", w):
+            if w.isalpha() or any(ch.isalpha() for ch in w) and not UNIT.fullmatch(w):
                 out.append([n, t.start(), w.lower(), "", 0, ""])
         if split:
             left, sign, right = split
