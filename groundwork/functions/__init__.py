@@ -1 +1,70 @@
-""""""
+"""Column expressions over text; all stay in the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+SPACES = r"[\s   -     　﻿]+"
+#: ASCII word boundaries, as in the patterns' home dialect; Java's own take accented letters for word letters.
+LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+
+#: Words that negate, hedge or generalise a statement.
+NEGATION = "not|never|no|without|cannot|can't|doesn't|don't|didn't|isn't|aren't|wasn't|weren't|fails? to|failed to|nor|neither|rather than|instead of|prevents?|inhibits?|blocks?|suppresses?"
+MODALITY = "may|might|could|can|suggests?|suggested|associated with|appears? to|is thought to|is believed to|tends? to|often|sometimes|generally|typically|usually"
+ABSOLUTE = "always|never|all|every|invariably|without exception|exclusively"
+CAUSAL = "because|since|due to|owing to|as a result of|therefore|thus|hence|leads to|results in|prevents"
+#: Units behind a number.
+UNITS = "%|mV|ms|Hz|kHz|nm|µm|um|mm|cm|km|kDa|Da|mM|µM|uM|nM|pM|mg|µg|ug|kg|mL|L|°C|K|years?|months?|days?|weeks?|s|min|h|percent|millivolts?|milliseconds?|seconds?|minutes?|hours?|hertz|nanometers?|micrometers?|millimeters?|centimeters?|millimolar|micromolar|nanomolar|picomolar|degrees?|daltons?|kilodaltons?|milligrams?|micrograms?|millilit(?:er|re)s?|lit(?:er|re)s?|kelvin"
+#: A unit ends at a word boundary; behind a percent sign there is one only before a word letter.
+QUANTITY = rf"(?i)(-?[0-9]+(?:[.,][0-9]+)?)\s*(%(?=[A-Za-z0-9_])|(?:{UNITS[2:]}){RIGHT})"
+
+
+def collapse(text: Column) -> Column:
+    """Every run of white space one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, SPACES, " "))
+
+
+def has_words(text: Column, words: str) -> Column:
+    return text.rlike(f"(?i){LEFT}(?:{words}){RIGHT}")
+
+
+def content_words(text: Column) -> Column:
+    """Lower-case words of three letters or more; stops and hyphens stay on them."""
+    parts = F.split(F.regexp_replace(F.lower(collapse(text)), r"[^a-z0-9\s.-]", " "), r"\s+")
+    return F.filter(parts, lambda w: F.length(w) > 2)
+
+
+def significant_terms(text: Column) -> Column:
+    """Distinct lower-case runs of letters and digits, four characters or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))
+
+
+def dice(a: Column, b: Column) -> Column:
+    """Sørensen-Dice of two arrays of distinct words; 0 if either is empty."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
+
+
+def quantities(text: Column) -> Column:
+    """Numbers with their units as written, value:unit, decimal comma as a point."""
+    found = F.regexp_extract_all(collapse(text), F.lit(QUANTITY), F.lit(0))
+    value = lambda q: F.replace(F.regexp_extract(q, QUANTITY, 1), F.lit(","), F.lit("."))
+    return F.transform(found, lambda q: F.concat(value(q), F.lit(":"), F.lower(F.regexp_extract(q, QUANTITY, 2))))
+
+
+def word_count(text: Column) -> Column:
+    clean = collapse(text)
+    return F.when(F.coalesce(clean, F.lit("")) == "", 0).otherwise(F.size(F.split(clean, " ")))
+
+
+def cloze_deletions(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\{\{c[0-9]+::(.*?)(?:::[^}]*)?\}\}"), F.lit(1))
+
+
+def cloze_as_claim(text: Column) -> Column:
+    return F.regexp_replace(text, r"\{\{c[0-9]+::(.*?)(?:::[^}]*)?\}\}", "$1")
+
+
+def half_up(x: Column, digits: int) -> Column:
+    """Rounded, halves towards plus infinity, on the binary product."""
+    return F.floor(x * 10**digits + 0.5) / 10**digits

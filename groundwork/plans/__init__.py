@@ -1,4 +1,102 @@
 """Whole queries over tables, made of the operators, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groundwork.functions import content_words, quantities, significant_terms
+from groundwork.operators import cards, checks, coverage, documents, grounding, pages, replies, reviews, similarity, trees
+from groundwork.plans.sql import SQL
+from groundwork.sources import once, table
+
+__all__ = ["QUERIES", "SQL"]
+
+
+def over(names: str, made: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that gives the named tables to an operator."""
+    return lambda spark, folder: made(*(table(spark, folder, n) for n in names.split()))
+
+
+def first_concepts(concepts: DataFrame) -> DataFrame:
+    rows = once(concepts, "job_id", "ordinal", "source_excerpt").select("id", "job_id", "ordinal", F.array_distinct(content_words(F.col("source_excerpt"))).alias("words"))
+    return similarity.first_statements(rows.where("job_id is not null"), "job_id", "ordinal").select(F.col("id").alias("concept_id"), "kept_id")
+
+
+def terms(documents_: DataFrame) -> DataFrame:
+    words = documents_.select(F.explode(significant_terms(F.col("text"))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("documents"))
+
+
+def stated_quantities(concepts: DataFrame) -> DataFrame:
+    q = once(concepts, "source_excerpt").select("id", F.explode(quantities(F.col("source_excerpt"))).alias("quantity"))
+    return q.groupBy("quantity").agg(F.count_distinct("id").alias("concepts"))
+
+
+def places(region: DataFrame, nation: DataFrame, supplier: DataFrame) -> DataFrame:
+    part = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = region.select(part("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
+    edges = edges.unionByName(nation.select(part("n", "n_nationkey").alias("node"), part("r", "n_regionkey").alias("parent")))
+    return trees.sizes(edges.unionByName(supplier.select(part("s", "s_suppkey").alias("node"), part("n", "s_nationkey").alias("parent"))))
+
+
+def constraints(versions: DataFrame, blocks: DataFrame, scopes: DataFrame, concepts: DataFrame, cards_: DataFrame, events: DataFrame) -> DataFrame:
+    return checks.tally({
+        "block_without_version": checks.orphans(blocks, "document_version_id", versions),
+        "scope_without_version": checks.orphans(scopes, "document_version_id", versions),
+        "concept_without_block": checks.orphans(concepts, "source_block_id", blocks),
+        "card_without_concept": checks.orphans(cards_, "concept_id", concepts),
+        "event_without_card": checks.orphans(events, "card_id", cards_),
+        "block_repeated": checks.repeated(blocks, "id"),
+        "card_repeated": checks.repeated(cards_, "id"),
+        "event_repeated": checks.repeated(events, "id"),
+        "block_kind": checks.outside(blocks, "kind", ["text", "ocr-text", "image-only", "blank"]),
+        "card_format": checks.outside(cards_, "format", ["qa", "cloze"]),
+        "event_rating": events.where("rating is not null and rating not between 0 and 5"),
+        "scan_source": blocks.where("(kind = 'ocr-text') <> (text_source = 'ocr')"),
+    })
+
+
+def similar_claims(cards_: DataFrame) -> DataFrame:
+    texts = once(cards_, "claim").where("claim is not null")
+    return similarity.similar_pairs(texts, content_words(F.col("claim"))).select("id_a", "id_b")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "study_daily_activity": over("review_events cards", reviews.daily_activity),
+    "study_review_counts": over("review_events", reviews.review_counts),
+    "study_latest_review": over("review_events", reviews.latest_review),
+    "study_history": over("review_events", reviews.history),
+    "study_replay": over("review_events", reviews.replay),
+    "events_trailing_failures": over("events", reviews.trailing_failures),
+    "page_text": over("source_blocks", pages.page_text),
+    "page_kinds": over("source_blocks", pages.page_kinds),
+    "read_report_differences": over("read_reports source_blocks", pages.report_differences),
+    "document_paragraphs": over("documents", pages.paragraphs),
+    "scope_words": over("section_scopes", pages.scope_words),
+    "scope_batches": over("section_scopes", lambda s: pages.pack(s, 6000)),
+    "latest_versions": over("document_versions", documents.latest_versions),
+    "file_formats": over("read_reports", documents.formats),
+    "concept_cited_page": over("generation_concepts source_blocks", grounding.cited_page),
+    "concept_repaired_page": over("generation_concepts section_scopes source_blocks", grounding.repaired_page),
+    "citation_violations": over("generation_concepts section_scopes source_blocks", grounding.violations),
+    "concept_quantities": over("generation_concepts", stated_quantities),
+    "concept_first_statements": over("generation_concepts", first_concepts),
+    "coverage_by_job": over("generation_concepts", coverage.by_job),
+    "coverage_by_decision": over("generation_concepts", coverage.by_decision),
+    "concept_batches": over("generation_concepts", coverage.batches),
+    "reply_concepts": over("chat_responses", replies.concept_rows),
+    "reply_sizes": over("chat_responses", replies.sizes),
+    "card_claims": over("cards", cards.claims),
+    "card_structure": over("cards generation_concepts", cards.structure),
+    "card_similar_claims": over("cards", similar_claims),
+    "card_export_lines": over("cards", cards.export_lines),
+    "card_export_rows": over("cards", cards.export_cards),
+    "card_operation_keys": over("cards", cards.operation_keys),
+    "deck_totals": over("cards", cards.deck_totals),
+    "document_terms": over("documents", terms),
+    "place_tree": over("region nation supplier", places),
+    "constraints": over("document_versions source_blocks section_scopes generation_concepts cards review_events", constraints),
+}
