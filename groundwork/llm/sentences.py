@@ -37,6 +37,12 @@ REFERENCE = regex.compile(r"(?:\[\d+(?:[,–-]\s?\d+)*\]|[¹²³⁴⁵⁶⁷⁸
 MARK = regex.compile(r"\s*(?:([-*•‣◦▪●·])|\(?(\d{1,3})[.)]|\(?([a-z])\))[^\S\n]+(?=\S)")
 DOTTED = regex.compile(r"((?:\p{L}\p{M}*\.[^\S\n]?)*[\p{L}\p{M}]+)\.")
 WORD = regex.compile(r"[\p{L}\p{M}]+")
+ORDINAL = regex.compile(r"(\p{L}+)\s+(\d{1,3})$")
+FIGURE_END = regex.compile(r"\d\s?$")
+THAI = regex.compile(r"\p{Thai}")
+LEAD = regex.compile(r"[\"“„«(\[¿¡‘'\s]*")
+WHOLE_WORD = regex.compile(r"[^ \t]*")
+INNER_CAPITAL = regex.compile(r"(?<=[\p{L},]\s)\p{Lu}[\p{L}\p{M}]+")
 BACK = regex.compile(r"(?<![\p{L}\p{M}\p{N}])((?:\p{L}\p{M}*\.[^\S\n]?)*[\p{L}\p{M}]+)$")
 THAI_BREAK = regex.compile(r"(?<=[\p{Thai}ๆฯ])[^\S\n]+(?=\p{Thai})|(?<=[\p{Thai}ๆฯ])\s*\n\s*(?=\p{Thai})")
 LINE = regex.compile(r"[^\r\n  \x0b\x0c\x85]+|[\r\n  \x0b\x0c\x85]")
@@ -51,7 +57,7 @@ class Knowledge:
 
 
 def key_of(token: str) -> str:
-    return regex.sub(r"\s", "", token).lower()
+    return "".join(token.split()).lower()
 
 
 def first_word(text: str, at: int) -> str:
@@ -61,19 +67,18 @@ def first_word(text: str, at: int) -> str:
 
 def count_words(text: str, words: Counter, dots: Counter, follows: Counter) -> None:
     """Adds a text's evidence: words by case within sentences, dotted words by what follows, capital words behind them."""
-    for m in WORD.finditer(text):
-        w = m.group()
+    for w, n in Counter(WORD.findall(text)).items():
         if w[0].islower():
-            words[w, 0] += 1
-        elif w[0].isupper() and len(w) > 1:
-            before = text[max(0, m.start() - 3) : m.start()].rstrip()
-            if before and (before[-1].isalpha() or before[-1] == ","):
-                words[w.lower(), 1] += 1
+            words[w, 0] += n
+    for w in INNER_CAPITAL.findall(text):
+        words[w.lower(), 1] += 1
     for m in DOTTED.finditer(text):
-        w, rest = key_of(m.group(1)), text[m.end() : m.end() + 40]
-        if len(w) > 8 or not rest.strip():
+        if len(m.group(1)) > 16:
             continue
+        w, rest = key_of(m.group(1)), text[m.end() : m.end() + 40]
         after = rest.lstrip()
+        if len(w) > 8 or not after:
+            continue
         spaced = rest[0].isspace()
         if after[0] in ",;:)" or spaced and (after[0].islower() or after[0].isdigit() and "\n" not in rest[: len(rest) - len(after)]):
             dots[w, 0] += 1
@@ -136,7 +141,7 @@ class Splitter:
             return len(line) + 1 > width - 1
         if after[0].islower() and line[-1] not in TERMINATORS or line.rfind("(") > line.rfind(")") and ")" in after:
             return True
-        return len(line) + 1 + len(regex.split("[ \t]", after, maxsplit=1)[0]) > width
+        return len(line) + 1 + len(WHOLE_WORD.match(after).group()) > width
 
     # sentences
 
@@ -178,10 +183,10 @@ class Splitter:
         nxt = s[after:].lstrip()
         word = first_word(nxt, 0)
         if token is None:
-            digits = regex.search(r"(\p{L}+)\s+(\d{1,3})$", s[max(0, at - 30) : at])
+            digits = ORDINAL.search(s[max(0, at - 30) : at])
             return not (digits and digits.group(1).lower() in DETERMINERS and word[:1].isupper() and s[at : at + 1] == ".")
         raw, w = token.group(1), key_of(token.group(1))
-        if len(raw) <= 2 and w not in MAY_END and raw.islower() and regex.search(r"\d\s?$", s[max(0, at - 40) : at][: token.start()]):
+        if len(raw) <= 2 and w not in MAY_END and raw.islower() and FIGURE_END.search(s[max(0, at - 40) : at][: token.start()]):
             return True  # a unit of measure
         letters = raw.replace(".", " ").split()
         common = word.lower() in self.lower or word.lower() in self.known.common
@@ -203,7 +208,7 @@ class Splitter:
         spans = self.spans(s)
         out: list[int] = []
         start = 0
-        if regex.search(r"\p{Thai}", s) and len(regex.findall(r"\p{Thai}", s)) * 2 > sum(ch.isalpha() for ch in s):
+        if not s.isascii() and THAI.search(s) and len(THAI.findall(s)) * 2 > sum(ch.isalpha() for ch in s):
             out = [m.start() for m in THAI_BREAK.finditer(s) if not any(a <= m.start() <= b for a, b in spans)]
         i = 0
         while True:
@@ -238,7 +243,7 @@ class Splitter:
                 at = r.end()
             elif s[at] in CLOSERS and not (s[at] in "“\"'’" and at + 1 < len(s) and s[at + 1].isalnum()):
                 at += 1
-            elif regex.match(r"[   ][»]", s[at : at + 2]):
+            elif s[at + 1 : at + 2] == "»" and s[at] in "\u0020\u00a0\u202f":
                 at += 2
             else:
                 break
@@ -254,7 +259,7 @@ class Splitter:
         if nxt[0] in ",;:—–-)]" or nxt[0].islower() or nxt[0] in TERMINATORS or nxt[0] in "，、；：":
             return False
         if CASELESS.match(nxt[0]) or UNSPACED.match(nxt[0]):
-            if nxt[0] in JAPANESE_GOES_ON and regex.match(r"[\p{Hiragana}]", nxt[0]):
+            if nxt[0] in JAPANESE_GOES_ON and "ぁ" <= nxt[0] <= "ゟ":
                 return False
             return bool(lead)
         if not lead:
@@ -280,7 +285,7 @@ class Splitter:
         if nxt[0] in "—–" and nxt[1:2].isspace() and nxt[2:].lstrip()[:1].islower():
             return False
         if run == "." and end == m.end():
-            lead = regex.match(r"[\"“„«(\[¿¡‘'\s]*", nxt).end()
+            lead = LEAD.match(nxt).end()
             if nxt[lead : lead + 1].isdigit() and (t := BACK.search(s[max(0, m.start() - 40) : m.start()])) and self.abbreviation(key_of(t.group(1))) is False:
                 return False
             if nxt[lead : lead + 1].islower():
