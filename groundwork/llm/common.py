@@ -42,15 +42,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` in enough partitions for work that is heavy for each row, keyed so that a task run again gives the same rows."""
-    return df.repartition(*[F.col(c) for c in columns])
-
-
 def pair(left: str, right: str, as_left: str, as_right: str) -> list:
     """The two columns as a pair with the smaller id first."""
     return [F.least(F.col(left), F.col(right)).alias(as_left), F.greatest(F.col(left), F.col(right)).alias(as_right)]

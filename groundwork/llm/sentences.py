@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Abbreviations that a name or figure follows, and such as may end a sentence; lower case, blanks left out.
 BEFORE_MORE = frozenset("abb abs anm approx bd bros bspw bzw ca cf chap d.h dept dr eds e.g eq ex fig figs gov hr hrsg i.e inkl jh kap m mlle mme mr mrs ms nr no nos p pp pág págs prof sect sr sra st tab vgl vol vols vs z.b cp cfr env р рис см стр табл гл ред проф им тов ул д с डॉ प्रो श्री د ص أ".split())
 MAY_END = frozenset("a.m al co corp etc ff inc jr ltd p.m sr u.a usf usw т.д т.п др г гг вв н.э и.т.д a.d b.c u.s".split())
-#: Words before a German ordinal number, and nouns that follow one.
+#: Words before a German ordinal number.
 DETERMINERS = frozenset("am im das der die den dem des vom zum zur beim ab seit bis".split())
 
 TERMINATORS = ".!?…。！？｡।॥؟۔"
