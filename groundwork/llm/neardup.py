@@ -27,7 +27,7 @@ TREES, DEPTH, SHORTEST, RECALL = 48, 5, 2, 0.9995
 BLOCK = 256
 #: A word's frequency is known if it makes up at least 1 / COMMON of all words, which at most COMMON words do.
 COMMON = 20_000
-#: Members of a class of equal word sets up to which its copies are expanded into pairs; beyond, each is paired with the first.
+#: Copies of exactly one text up to which they are expanded into pairs where not every pair is asked for; beyond, each is paired with the first.
 EXPANDED = 512
 
 
@@ -133,6 +133,7 @@ class Forest:
         sets = texts.select("id", word_set(F.col("text")).alias("words")).where("size(words) > 0")
         sets = sets.withColumn("_set", F.sha2(F.concat_ws(",", F.transform("words", lambda w: w.cast("string"))), 256))
         classes = sets.groupBy("_set").agg(F.min("id").alias("c"), F.count("*").alias("copies"))
+        self.texts = texts
         self.members = cut_lineage(sets.join(classes, "_set").select("id", "c", "copies", F.when(F.col("id") == F.col("c"), F.col("words")).alias("words")))
         self.classes = self.members.where("id = c").select("c", "words", F.size("words").alias("n"))
         counts = self.classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("k"))
@@ -156,15 +157,32 @@ class Forest:
                 break
         return true.select("a", "b")
 
-    def card_pairs(self) -> DataFrame:
-        """(a, b) of ids: every pair of near-copies. Copies of a class of more than ``EXPANDED`` are paired with its first only."""
-        few = (F.col("copies") <= EXPANDED) | (F.col("id") == F.col("c"))
-        m = self.members.where(few).select("id", "c")
-        across = self.pairs.join(m.select(F.col("c").alias("a"), F.col("id").alias("ia")), "a").join(m.select(F.col("c").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib")
-        several = self.members.where(f"copies > 1 and copies <= {EXPANDED}").select("id", "c")
-        within = several.select(F.col("id").alias("ia"), "c").join(several.select(F.col("id").alias("ib"), "c"), "c").where("ia < ib").select("ia", "ib")
-        star = self.members.where(f"copies > {EXPANDED} and id <> c").select(F.col("c").alias("ia"), F.col("id").alias("ib"))
-        return across.unionByName(within).unionByName(star).select(*pair("ia", "ib", "a", "b"))
+    def card_pairs(self, every: bool = True) -> DataFrame:
+        """(a, b) of ids: every pair of near-copies. Unless ``every``, more than ``EXPANDED`` copies of exactly one text are paired with the first of them only.
+
+        A unit is a class, or within it a text with so many copies. Units are paired block by block, so no task holds
+        all members of a hot one.
+        """
+        m = self.members.select("id", "c").withColumn("t", F.lit(""))
+        star = None
+        if not every:
+            exact = self.members.select("id", "c").join(self.texts.select("id", F.sha2("text", 256).alias("t")), "id")
+            many = exact.groupBy("c", "t").agg(F.min("id").alias("first"), F.count("*").alias("k")).where(F.col("k") > EXPANDED)
+            m = exact.join(many.select("c", "t", "first"), ["c", "t"], "left").select("id", "c", F.when(F.col("first").isNotNull(), F.col("t")).otherwise("").alias("t"), "first")
+            star = m.where("id <> first").select(F.col("first").alias("ia"), F.col("id").alias("ib"))
+        units = m.groupBy("c", "t").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
+        u, v = (units.select(F.col("c").alias(f"c{x}"), F.col("t").alias(f"t{x}"), F.col("k").alias(f"k{x}"), F.col("blocks").alias(f"blocks{x}")) for x in "ab")
+        across = self.pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(u, "ca").join(v, "cb").withColumn("same", F.lit(False))
+        apart = u.join(v, (F.col("ca") == F.col("cb")) & (F.col("ta") < F.col("tb"))).withColumn("same", F.lit(False))
+        alone = units.where("k > 1 and t = ''").select(*[F.col(n).alias(n + x) for x in "ab" for n in ("c", "t", "k", "blocks")], F.lit(True).alias("same"))
+        met = across.unionByName(alone) if every else across.unionByName(apart).unionByName(alone)
+        met = met.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocksa") - 1)))
+        met = met.withColumn("y", F.explode(F.sequence(F.when(F.col("same"), F.col("x")).otherwise(0), F.col("blocksb") - 1)))
+        placed = m.join(units.select("c", "t", "blocks"), ["c", "t"]).select("id", "c", "t", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        left, right = (placed.select(F.col("id").alias(f"i{k}"), F.col("c").alias(f"c{k}"), F.col("t").alias(f"t{k}"), F.col("block").alias(at)) for k, at in (("a", "x"), ("b", "y")))
+        once = ~F.col("same") | (F.col("x") != F.col("y")) | (F.col("ia") < F.col("ib"))
+        out = met.select("ca", "ta", "cb", "tb", "x", "y", "same").join(left, ["ca", "ta", "x"]).join(right, ["cb", "tb", "y"]).where(once).select("ia", "ib")
+        return (out if star is None else out.unionByName(star)).select(*pair("ia", "ib", "a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,12 +211,14 @@ def claims(cards: DataFrame) -> DataFrame:
     return records(cards, ["id", "claim"]).select("id", F.col("claim").alias("text"))
 
 
-def near_copies(cards: DataFrame, threshold: float = 0.85) -> DataFrame:
+def near_copies(cards: DataFrame, threshold: float = 0.85, every: bool = False) -> DataFrame:
     """(card_id_a, card_id_b) of cards whose claims' word sets have a Dice similarity over ``threshold``.
 
-    Repeated ids count once. Null claims and claims without a letter or digit are near no other.
+    Repeated ids count once. Null claims and claims without a letter or digit are near no other. Unless ``every``,
+    more than ``EXPANDED`` exact copies of a claim are paired with the first of them only; pairs of different claims
+    are always whole.
     """
-    return Forest(claims(cards), threshold).card_pairs().select(F.col("a").alias("card_id_a"), F.col("b").alias("card_id_b"))
+    return Forest(claims(cards), threshold).card_pairs(every).select(F.col("a").alias("card_id_a"), F.col("b").alias("card_id_b"))
 
 
 def near_copy_groups(cards: DataFrame, threshold: float = 0.85) -> DataFrame:

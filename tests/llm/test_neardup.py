@@ -2,6 +2,7 @@ import random
 import re
 
 from groundwork.llm import neardup
+from groundwork.llm.queries import QUERIES
 
 
 def brute(rows, threshold=0.85):
@@ -75,6 +76,31 @@ def test_many_copies_are_paired_with_the_first(spark, monkeypatch):
     assert got == {("k0", f"k{i}") for i in range(1, 5)} | {("y", "z")}
 
 
+def hot_class():
+    rows = [(f"h{i:02}", "One two three four five six seven.") for i in range(9)]
+    rows += [(f"m{i:02}", ["Seven six five four three two one!", "two one three four five six seven"][i % 2]) for i in range(7)]
+    return rows + [("x", "one two three four five six seven eight"), ("y", "one two three four five six seven nine")]
+
+
+def test_every_pair_of_a_hot_class(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(neardup, "EXPANDED", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rows = hot_class()
+    cards(spark, rows).write.parquet(f"{tmp_path}/cards.parquet")
+    got = [tuple(r) for r in QUERIES["p5_found"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_only_exact_copies_are_paired_with_the_first(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "EXPANDED", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rows = hot_class()
+    text = dict(rows)
+    got = [tuple(r) for r in neardup.near_copies(cards(spark, rows)).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a, b in brute(rows) if text[a] != text[b] or not a.startswith("h") or a == "h00"}
+
+
 def test_nulls_and_empty_table(spark):
     rows = [("a", None), ("b", ""), ("c", "!?"), (None, "one two"), ("d", "one two"), ("e", "word " * 50_000)]
     assert neardup.near_copies(cards(spark, rows)).count() == 0
