@@ -35,6 +35,12 @@ def content_words(text: Column) -> Column:
     return F.filter(parts, lambda w: F.length(w) > 2)
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-case words of any length; hyphens stay on them."""
+    parts = F.split(F.regexp_replace(F.lower(collapse(text)), r"[^a-z0-9\s-]", " "), r"\s+")
+    return F.filter(parts, lambda w: F.length(w) > 0)
+
+
 def significant_terms(text: Column) -> Column:
     """Distinct lower-case runs of letters and digits, four characters or more."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))

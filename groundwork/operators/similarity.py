@@ -6,6 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Decisions that pass the choice of first statements, and those that have others dropped.
+PASSING = ("excluded_not_in_source", "excluded_out_of_scope")
+INCLUDED = ("included_eligible", "included_central")
+
 
 def similar_pairs(texts: DataFrame, words: Column, threshold: float = 0.85) -> DataFrame:
     """(id_a, id_b, similarity) of all texts (id, ...) whose word sets have a Dice similarity over ``threshold``.
@@ -36,20 +40,29 @@ def similar_pairs(texts: DataFrame, words: Column, threshold: float = 0.85) -> D
 def first_statements(rows: DataFrame, group: str, order: str, threshold: float = 0.9) -> DataFrame:
     """(id, kept_id) for rows (id, group, order, words): a row is dropped for the first kept row of its group that is as similar.
 
-    Compared with kept rows only, in order, so the result isn't that of connected components. A group is one run of
-    work, whose rows fit a task.
+    Rows are similar by their words, and where there is a column ``kind`` only if that is the same; or by their
+    ``label_words``, whatever their kind. With a column ``decision``, rows of a decision in ``PASSING`` are never
+    dropped, and only rows of a decision in ``INCLUDED`` have others dropped for them. Compared with kept rows only,
+    in order, so the result isn't that of connected components. A group is one run of work, whose rows fit a task.
     """
     kind = rows.schema["id"].dataType.simpleString()
+    has = set(rows.columns)
+
+    def like(a: set, b: set) -> bool:
+        return bool(a and b) and 2 * len(a & b) / (len(a) + len(b)) >= threshold
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, set]] = []
+        kept: list[tuple] = []
         out = []
-        for i, words in g.sort_values([order, "id"])[["id", "words"]].itertuples(index=False):
-            s = set(words if words is not None else ())
-            to = next((k for k, o in kept if s and o and 2 * len(s & o) / (len(s) + len(o)) >= threshold), None)
-            if to is None:
-                kept.append((i, s))
-            out.append((i, to or i))
+        for row in g.sort_values([order, "id"]).to_dict("records"):
+            words, label = (set(x if x is not None else ()) for x in (row["words"], row.get("label_words")))
+            to = None
+            if "decision" not in has or row["decision"] not in PASSING:
+                to = next((k for k, w, lb, kd in kept if like(label, lb) or (kd == row.get("kind") and like(words, w))), None)
+            if to is None and ("decision" not in has or row["decision"] in INCLUDED):
+                kept.append((row["id"], words, label, row.get("kind")))
+            out.append((row["id"], row["id"] if to is None else to))
         return pd.DataFrame(out, columns=["id", "kept_id"])
 
-    return rows.select("id", group, order, "words").groupBy(group).applyInPandas(choose, f"id {kind}, kept_id {kind}")
+    columns = [c for c in ("label_words", "kind", "decision") if c in has]
+    return rows.select("id", group, order, "words", *columns).groupBy(group).applyInPandas(choose, f"id {kind}, kept_id {kind}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.functions import content_words, quantities, significant_terms
+from groundwork.functions import content_words, plain_words, quantities, significant_terms
 from groundwork.operators import cards, checks, coverage, documents, grounding, pages, replies, reviews, similarity, trees
 from groundwork.plans.sql import SQL
 from groundwork.sources import once, table
@@ -21,7 +21,9 @@ def over(names: str, made: Callable[..., DataFrame]) -> Callable[[SparkSession,
 
 
 def first_concepts(concepts: DataFrame) -> DataFrame:
-    rows = once(concepts, "job_id", "ordinal", "source_excerpt").select("id", "job_id", "ordinal", F.array_distinct(content_words(F.col("source_excerpt"))).alias("words"))
+    rows = once(concepts, "job_id", "ordinal", "label", "kind", "decision", "source_excerpt")
+    words = lambda c: F.array_distinct(plain_words(F.col(c)))
+    rows = rows.select("id", "job_id", "ordinal", "kind", "decision", words("label").alias("label_words"), words("source_excerpt").alias("words"))
     return similarity.first_statements(rows.where("job_id is not null"), "job_id", "ordinal").select(F.col("id").alias("concept_id"), "kept_id")
 
 

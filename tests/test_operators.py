@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwork import functions as fn
+from groundwork import plans
 from groundwork.operators import cards, checks, coverage, documents, grounding, pages, replies, reviews, similarity, trees
 from groundwork.streaming import daily_counts
 
@@ -76,6 +77,26 @@ def test_first_statements_compare_with_kept_rows_only(spark):
     assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
 
 
+def test_first_concepts_by_label_kind_and_decision(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [
+        ("a", "left vat", "causal", "included_central", text),
+        ("b", "Left  VAT!", "quantity", "included_eligible", "of quite another wording"),  # like label
+        ("c", "keel", "quantity", "included_eligible", text),  # like excerpt of another kind
+        ("d", "seam", "causal", "included_eligible", text),  # like excerpt of the same kind
+        ("e", "left vat", "causal", "excluded_out_of_scope", text),  # passes
+        ("f", "lens", "causal", "excluded_not_in_source", "the lens is worn by the tide"),
+        ("g", "lens", "causal", "included_eligible", "the lens is worn by the tide"),  # f has nothing dropped
+        ("h", "lens", "causal", "excluded_duplicate", "x"),
+        ("i", "weir", "causal", "excluded_no_grounded_card", "it is so"),
+        ("j", "weir", "causal", "included_eligible", "it is so"),
+        ("k", None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, "j", n, *r) for n, (i, *r) in enumerate(rows)], "id string, job_id string, ordinal int, label string, kind string, decision string, source_excerpt string")
+    got = {r.concept_id: r.kept_id for r in plans.first_concepts(df).collect()}
+    assert got == {i: {"b": "a", "d": "a", "h": "g"}.get(i, i) for i, *_ in rows}
+
+
 def test_grounding(spark):
     blocks = spark.createDataFrame([("b", "v", 1, 1, "the  vat is worn", "the vat is worn"), ("b2", "v", 2, 1, "", None), ("b3", "v", 3, 1, "x", "the lens settles")], "id string, document_version_id string, page_index int, ordinal int, raw_text string, normalized_text string")
     scopes = spark.createDataFrame([("s", "v", 1, 3)], "id string, document_version_id string, page_start int, page_end int")
