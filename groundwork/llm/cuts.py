@@ -29,6 +29,7 @@ MARKS = regex.compile(r"\s*(?:\[\s?(?:\.{2,}|…)\s?\]|\(\s?(?:\.{2,}|…)\s?\)|
 JSON_START = regex.compile(r"^[^{\[]{0,200}?(?:```\w*\s*)?(?=[{\[]\s*[\"{\[\]}])", regex.DOTALL)
 LAST_WORD = regex.compile(r"([\p{L}\p{M}.]+)\.$")
 ITEM = regex.compile(r"\s*(?:[-*•‣◦]|\(?\d{1,3}[.)])\s+\S")
+CLOSED = r"""[.!?。！？}\]`"”»]\s*$"""
 OPEN_PAIRS = {"(": ")", "«": "»", "「": "」", "『": "』", "（": "）"}
 
 
@@ -85,6 +86,12 @@ def unfinished(text: str) -> bool:
     return bool(word) and key_of(word.group(1)) in BEFORE_MORE and len(word.group(1)) < 7
 
 
+def ends_whole(text: str) -> bool:
+    """Whether the last unit of ``text`` is a heading or list item, whose end has no closing sign to tell it."""
+    units = Splitter().units(text.rstrip())
+    return bool(units) and units[-1][2]
+
+
 def solid(text: str) -> int:
     return len(text) - sum(ch.isspace() for ch in text)
 
@@ -166,7 +173,9 @@ def judge(replies: DataFrame, concepts: DataFrame, blocks: DataFrame) -> DataFra
     r = records(replies, ["id", "provider", "text"]).select(F.lit("reply").alias("record_kind"), F.col("id").alias("record_id"), "provider", "text", F.lit(None).cast("string").alias("block"))
     c = records(concepts, ["id", "provider", "source_excerpt", "source_block_id"]).select(F.lit("concept").alias("record_kind"), F.col("id").alias("record_id"), "provider", F.col("source_excerpt").alias("text"), F.col("source_block_id").alias("block"))
     texts = cut_lineage(r.unionByName(c).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0))).withColumn("provider", F.coalesce("provider", F.lit(""))))
-    lengths = significant_lengths(texts.where("n_chars > 0").select("record_kind", "provider", "n_chars"))
+    # a reply that ends with a closing sign is no evidence of a cut: whole JSON replies of one form share lengths too
+    open_end = (F.col("record_kind") == "concept") | ~F.col("text").rlike(CLOSED)
+    lengths = significant_lengths(texts.where(F.col("n_chars") > 0).where(open_end).select("record_kind", "provider", "n_chars"))
     texts = texts.join(lengths.select("record_kind", "provider", "n_chars", F.lit(True).alias("_at")), ["record_kind", "provider", "n_chars"], "left").withColumn("at_cut_length", F.coalesce("_at", F.lit(False))).drop("_at")
 
     plain_end = F.col("text").rlike(r"\p{L}{4,}[.!?]$")
@@ -191,8 +200,8 @@ def judge(replies: DataFrame, concepts: DataFrame, blocks: DataFrame) -> DataFra
                     cut = True if text.rstrip().endswith("�") else on_page(text, page)
                 if cut is None:
                     cut = not certain(text) and unfinished(text)
-                    closed = text.rstrip().rstrip(CLOSERS)[-1:] in tuple(TERMINATORS)
-                    if not cut and at and not closed and kind == "concept":
+                    closed = regex.sub(r"(?:\[\d+\])+$", "", text.rstrip()).rstrip(CLOSERS)[-1:] in tuple(TERMINATORS)
+                    if not cut and at and not closed and (kind == "concept" or ends_whole(text)):
                         cut = True
                 out.append(bool(cut))
             yield batch[["record_kind", "record_id", "provider", "n_chars", "at_cut_length"]].assign(is_cut=out)

@@ -32,6 +32,16 @@ def test_a_length_with_many_ends_is_significant(spark):
     assert got == {("p", 100)}
 
 
+def test_a_significant_length_decides_on_list_items_of_replies(spark):
+    filler = "The vat keeps its pressure. "
+    rows = [(f"r{i:03}", "p", (filler * 12)[: 49 + i % 60].rsplit(" ", 1)[0] + "x" * (i % 3) + ".") for i in range(240)]
+    item = "Typical parts:\n\n- dense dark keel\n- clay-rich old pla"
+    rows += [(f"cut{i:02}", "p", "y" * (120 - len(item) - 2) + ".\n" + item) for i in range(60)]
+    rows += [("closed", "p", "z" * 119 + "."), ("json", "p", '{"a": "' + "b" * 111 + '"}'), ("other", "p", "y" * 9 + ".\n" + item)]
+    assert {len(t) for i, _, t in rows if i[:3] in ("cut", "clo", "jso")} == {120}
+    assert found(spark, rows) == {f"cut{i:02}" for i in range(60)}
+
+
 def test_rates_and_empty_tables(spark):
     r = spark.createDataFrame([("1", "p", "It is done."), ("2", "p", "It is"), ("3", None, None)], "id string, provider string, text string")
     c = spark.createDataFrame([], "id string, provider string, source_excerpt string, source_block_id string")
