@@ -1,12 +1,16 @@
 """Problem 5: near-copies among texts, by a forest of prefix tries over MinHash signatures.
 
-Texts with the same set of words are one class from the start. A class gets ``TREES`` signatures of up to ``DEPTH``
-hash values; a value is the word that comes first in an exponential race whose rates grow with the word's rarity, so
-two sets agree in a value with the probability of their weighted Jaccard similarity and phrases that many texts share
-count little. Classes in one node of a tree's trie, that is, with the same prefix of values, are candidates and are
-verified exactly. The matched prefix starts long and is shortened until the estimated recall reaches its target: each
-verified pair's own chance to share a prefix of that length in some tree tells how many pairs like it were missed.
-A node with many classes is joined in blocks, so no task and no row ever holds a whole node.
+Texts with the same set of words are one class from the start. In each of ``TREES`` tries a class's signature is a
+sequence of words, each the one that comes first in an exponential race whose rates grow with the word's rarity, so two
+sets agree in a value with the probability of their weighted Jaccard similarity, and phrases that many texts share count
+little. A class's prefix is cut at the first word that at most ``node`` classes hold, at latest at the depth of the
+trie, which grows with the logarithm of the number of classes: a node that a rare word closes can't hold more classes
+than that, however many there are in all. Classes of one node are candidates if the parity bitmaps of their words allow the
+similarity, which loses no pair, and are verified exactly.
+
+In how many tries each verified pair met tells how many pairs met in none (the Chao estimate over the pairs met once
+and twice). While the recall so estimated is below its target, the prefixes are shortened: ``node`` grows and the depth
+falls, down to a single word, where a pair over the threshold is missed in all tries with a probability below 1e-6.
 """
 
 from __future__ import annotations
@@ -21,14 +25,12 @@ from pyspark.sql import functions as F
 
 from groundwork.llm.common import cut_lineage, pair, records
 
-#: Trees; longest and shortest matched prefix; estimated recall at which the prefix isn't shortened any more.
-TREES, DEPTH, SHORTEST, RECALL = 48, 5, 2, 0.9995
-#: Classes of a node that one block holds.
+#: Tries; classes that a node closed by a rare word may hold at first; the estimated recall that is asked for.
+TREES, NODE, RECALL = 16, 32, 0.9995
+#: Classes of a node, or members of a class, that one block holds.
 BLOCK = 256
-#: A word's frequency is known if it makes up at least 1 / COMMON of all words, which at most COMMON words do.
+#: Words that make up at least 1 / COMMON of all words, at most COMMON of them, have their counts sent by the driver; those of all others are joined.
 COMMON = 20_000
-#: Copies of exactly one text up to which they are expanded into pairs where not every pair is asked for; beyond, each is paired with the first.
-EXPANDED = 512
 
 
 def word_set(text: Column) -> Column:
@@ -45,144 +47,133 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class Rates:
-    """The rate of a word: the logarithm of how rare it is among all texts."""
-
-    def __init__(self, counts: dict[int, int], texts: int, words: int) -> None:
-        self.keys = np.array(sorted(counts), np.int64)
-        found = np.array([counts[int(k)] for k in self.keys], np.float64)
-        self.top = math.log(max(texts, 1) / max(1.0, words / COMMON)) + 1 if texts else 1.0
-        self.top = max(self.top, 1.0)
-        self.rates = np.clip(np.log(max(texts, 1) / np.maximum(found, 1)) + 0.1, 0.1, self.top)
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(hashes), self.top)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.rates[at], self.top)
-
-
-def prefix_keys(sets: list[np.ndarray], rates: Rates, depth: int) -> np.ndarray:
-    """For each set the key of its trie node at ``depth`` in every tree."""
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    rate, unsigned = rates.of(flat), flat.view(np.uint64)
-    keys = np.zeros((len(sets), TREES), np.uint64)
-    for tree in range(TREES):
-        key = np.full(len(sets), tree + 1, np.uint64)
-        for level in range(depth):
-            h = mixed(unsigned, tree * DEPTH + level)
-            race = -np.log((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / rate
-            least = np.minimum.reduceat(race, starts)
-            first = np.full(len(sets), len(flat))
-            at = np.flatnonzero(race == least[owner])
-            np.minimum.at(first, owner[at], at)
-            key = mixed(key ^ unsigned[first], level)
-        keys[:, tree] = key
-    return keys.view(np.int64)
+def prefixes(sets: list[np.ndarray], counts: list[np.ndarray], texts: int, tree: int, node: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the key of its node in one trie, and whether a word that at most ``node`` texts hold closes it.
+
+    ``counts`` says for each word how many of all ``texts`` hold it. The key depends on the prefix alone, so two sets with
+    the same first words have the same key whatever else they hold.
+    """
+    key = np.full(len(sets), tree + 1, np.uint64)
+    closed = np.zeros(len(sets), bool)
+    active = np.arange(len(sets))
+    for level in range(depth):
+        sizes = np.array([len(sets[i]) for i in active])
+        flat, count = np.concatenate([sets[i] for i in active]).view(np.uint64), np.concatenate([counts[i] for i in active])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        h = mixed(flat, tree * 1000 + level)
+        race = -np.log((h >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / (np.log(max(texts, 1) / count) + 0.1)
+        least = np.minimum.reduceat(race, starts)
+        won = np.flatnonzero(race == np.repeat(least, sizes))
+        first = np.full(len(active), len(flat))
+        np.minimum.at(first, np.repeat(np.arange(len(active)), sizes)[won], won)
+        key[active] = mixed(key[active] ^ flat[first], level)
+        rare = count[first] <= node
+        closed[active[rare]] = True
+        active = active[~rare]
+        if not len(active):
+            break
+    return key.view(np.int64), closed
 
 
 def dice(a: str, b: str) -> Column:
     return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
 
 
-def candidates(classes: DataFrame, rates: Rates, depth: int, ratio: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes that share a node at ``depth``; sizes too unlike for the threshold are left out."""
+def candidates(classes: DataFrame, common: dict[int, int], texts: int, node: int, depth: int, threshold: float) -> DataFrame:
+    """(a, b, hits), a < b: classes that share a node of some trie and that their bitmaps allow to be near-copies.
+
+    A bitmap holds for each of 64 groups of words whether their number is odd, so two bitmaps differ in at most as many
+    bits as the sets in words. Nodes that no rare word closes may be large; they are joined in blocks.
+    """
+    keys = np.array(sorted(common), np.int64)
+    known = np.array([common[int(k)] for k in keys], np.int64)
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                keys = prefix_keys([np.asarray(s, np.int64) for s in batch["words"]], rates, depth)
-                yield pd.DataFrame({"c": np.repeat(batch["c"].to_numpy(), TREES), "n": np.repeat(batch["n"].to_numpy(np.int32), TREES), "node": keys.ravel()})
-
-    at = classes.select("c", "n", "words").mapInPandas(nodes, "c string, n int, node long")
-    sizes = at.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-    full = at.join(sizes, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    full = full.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    full = full.select("node", "c", "n", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+            if not len(batch):
+                continue
+            sets, counts = [np.asarray(s, np.int64) for s in batch["words"]], []
+            for s, rare, times in zip(sets, batch["rare"], batch["times"]):
+                count = np.ones(len(s), np.int64)
+                for own, n in ((keys, known), (np.asarray(rare, np.int64), np.asarray(times, np.int64)) if rare is not None else (keys[:0], known[:0])):
+                    if len(own):
+                        at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                        count = np.where(own[at] == s, n[at], count)
+                counts.append(count)
+            bits = np.array([np.bitwise_xor.reduce(np.uint64(1) << (s.view(np.uint64) & np.uint64(63))) for s in sets], np.uint64).view(np.int64)
+            for tree in range(TREES):
+                key, closed = prefixes(sets, counts, texts, tree, node, depth)
+                yield pd.DataFrame({"u": batch["u"], "n": batch["n"].astype(np.int32), "bits": bits, "node": key, "closed": closed})
+
+    at = classes.select("u", "n", "words", "rare", "times").mapInPandas(nodes, "u long, n int, bits long, node long, closed boolean")
+    plain = at.where("closed").select("node", "u", "n", "bits", F.lit(0).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"))
+    open_ = at.where("not closed").drop("closed")
+    sizes = open_.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+    full = open_.join(sizes, "node").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    full = full.withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = plain.unionByName(full.select("node", "u", "n", "bits", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
     a, b = full.alias("a"), full.alias("b")
     same = (F.col("a.node") == F.col("b.node")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
     # a pair of two blocks meets once: where its blocks differ in the task of both, else in the block's own task
-    once = (F.col("a.c") < F.col("b.c")) & ((F.col("a.block") != F.col("b.block")) | (F.col("a.x") == F.col("a.y")))
-    alike = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * ratio)
-    return a.join(b, same & once & alike).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    once = (F.col("a.u") < F.col("b.u")) & ((F.col("a.block") != F.col("b.block")) | (F.col("a.x") == F.col("a.y")))
+    alike = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) < (F.col("a.n") + F.col("b.n")) * (1 - threshold) + 1e-6
+    return a.join(b, same & once & alike).groupBy(F.col("a.u").alias("a"), F.col("b.u").alias("b")).agg(F.count("*").alias("hits"))
 
 
-def expected(pairs: DataFrame, rates: Rates, depth: int) -> DataFrame:
-    """The chance of each verified pair (wa, wb) to have met at ``depth``."""
-
-    def chances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for a, b in zip(batch["wa"], batch["wb"]):
-                both, either = np.intersect1d(a, b), np.union1d(a, b)
-                j = rates.of(both).sum() / max(rates.of(either).sum(), 1e-12)
-                out.append(1 - (1 - j**depth) ** TREES)
-            yield pd.DataFrame({"p": out})
-
-    return pairs.mapInPandas(chances, "p double")
+def estimated_recall(found: int, once: int, twice: int) -> float:
+    """The share of all pairs that were found, if ``once`` of them met in one trie only and ``twice`` in two."""
+    missed = once * max(once - 1, 0) / (2 * (twice + 1))
+    return found / (found + missed) if found else 1.0
 
 
 class Forest:
-    """Near-copies of ``texts`` (id, text): pairs of classes, and the classes' members."""
+    """Near-copies of ``texts`` (id, text): pairs (a, b) of classes by number, the classes, their members, and the estimated recall."""
 
     def __init__(self, texts: DataFrame, threshold: float = 0.85, target: float = RECALL) -> None:
         sets = texts.select("id", word_set(F.col("text")).alias("words")).where("size(words) > 0")
-        sets = sets.withColumn("_set", F.sha2(F.concat_ws(",", F.transform("words", lambda w: w.cast("string"))), 256))
-        classes = sets.groupBy("_set").agg(F.min("id").alias("c"), F.count("*").alias("copies"))
-        self.texts = texts
-        self.members = cut_lineage(sets.join(classes, "_set").select("id", "c", "copies", F.when(F.col("id") == F.col("c"), F.col("words")).alias("words")))
-        self.classes = self.members.where("id = c").select("c", "words", F.size("words").alias("n"))
+        sets = sets.withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(5), "words"))
+        rows = sets.groupBy("k1", "k2").agg(F.min("id").alias("c"), F.count("*").alias("copies"), F.first("words").alias("words"))
+        base = cut_lineage(rows.withColumn("u", F.monotonically_increasing_id()))
+        self.classes = base.select("u", "c", "copies", "words", F.size("words").alias("n"))
+        several = base.where("copies > 1").select("k1", "k2", "u")
+        self.members = base.where("copies = 1").select(F.col("c").alias("id"), "u").unionByName(sets.select("id", "k1", "k2").join(several, ["k1", "k2"]).select("id", "u"))
         counts = self.classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("k"))
         totals = self.classes.agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
-        known = counts.where(F.col("k") * COMMON >= totals.words).collect() if totals.words else []
-        self.rates = Rates({r.w: r.k for r in known}, totals.texts, totals.words)
-        self.threshold, self.target = threshold, target
-        self.recall, self.depth = 1.0, DEPTH
+        self.texts = totals.texts
+        common = {r.w: r.k for r in counts.where(F.col("k") * COMMON >= totals.words).collect()} if totals.words else {}
+        # the rest have no hot word, so the join is even; words of one class only need no count
+        rare = counts.where((F.col("k") > 1) & (F.col("k") * COMMON < totals.words))
+        own = self.classes.select("u", F.explode("words").alias("w")).join(rare, "w").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("w", "k"))).alias("r"))
+        self.counted = self.classes.join(own.select("u", F.col("r.w").alias("rare"), F.col("r.k").alias("times")), "u", "left")
+        self.common, self.threshold, self.target = common, threshold, target
+        self.recall = 1.0
         self.pairs = self._search()
 
     def _search(self) -> DataFrame:
-        words = self.classes.select("c", "words")
-        a, b = words.select(F.col("c").alias("a"), F.col("words").alias("wa")), words.select(F.col("c").alias("b"), F.col("words").alias("wb"))
-        for depth in range(DEPTH, SHORTEST - 1, -1):
-            met = candidates(self.classes, self.rates, depth, self.threshold / (2 - self.threshold) - 1e-9)
-            true = met.join(a, "a").join(b, "b").where(dice("wa", "wb") > self.threshold).select("a", "b", "wa", "wb")
-            true = cut_lineage(true)
-            seen = expected(true.select("wa", "wb"), self.rates, depth).agg(F.count("*").alias("found"), F.sum(1 / F.greatest(F.col("p"), F.lit(1e-6))).alias("all")).first()
-            self.recall, self.depth = (seen.found / seen["all"] if seen.found else 1.0), depth
-            if self.recall >= self.target and seen.found:
-                break
-        return true.select("a", "b")
-
-    def card_pairs(self, every: bool = True) -> DataFrame:
-        """(a, b) of ids: every pair of near-copies. Unless ``every``, more than ``EXPANDED`` copies of exactly one text are paired with the first of them only.
-
-        A unit is a class, or within it a text with so many copies. Units are paired block by block, so no task holds
-        all members of a hot one.
-        """
-        m = self.members.select("id", "c").withColumn("t", F.lit(""))
-        star = None
-        if not every:
-            exact = self.members.select("id", "c").join(self.texts.select("id", F.sha2("text", 256).alias("t")), "id")
-            many = exact.groupBy("c", "t").agg(F.min("id").alias("first"), F.count("*").alias("k")).where(F.col("k") > EXPANDED)
-            m = exact.join(many.select("c", "t", "first"), ["c", "t"], "left").select("id", "c", F.when(F.col("first").isNotNull(), F.col("t")).otherwise("").alias("t"), "first")
-            star = m.where("id <> first").select(F.col("first").alias("ia"), F.col("id").alias("ib"))
-        units = m.groupBy("c", "t").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
-        u, v = (units.select(F.col("c").alias(f"c{x}"), F.col("t").alias(f"t{x}"), F.col("k").alias(f"k{x}"), F.col("blocks").alias(f"blocks{x}")) for x in "ab")
-        across = self.pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(u, "ca").join(v, "cb").withColumn("same", F.lit(False))
-        apart = u.join(v, (F.col("ca") == F.col("cb")) & (F.col("ta") < F.col("tb"))).withColumn("same", F.lit(False))
-        alone = units.where("k > 1 and t = ''").select(*[F.col(n).alias(n + x) for x in "ab" for n in ("c", "t", "k", "blocks")], F.lit(True).alias("same"))
-        met = across.unionByName(alone) if every else across.unionByName(apart).unionByName(alone)
-        met = met.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocksa") - 1)))
-        met = met.withColumn("y", F.explode(F.sequence(F.when(F.col("same"), F.col("x")).otherwise(0), F.col("blocksb") - 1)))
-        placed = m.join(units.select("c", "t", "blocks"), ["c", "t"]).select("id", "c", "t", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-        left, right = (placed.select(F.col("id").alias(f"i{k}"), F.col("c").alias(f"c{k}"), F.col("t").alias(f"t{k}"), F.col("block").alias(at)) for k, at in (("a", "x"), ("b", "y")))
+        words = self.classes.select("u", "words")
+        a, b = words.select(F.col("u").alias("a"), F.col("words").alias("wa")), words.select(F.col("u").alias("b"), F.col("words").alias("wb"))
+        node, depth = NODE, 2 + math.ceil(math.log2(self.texts + 2) / 2)
+        while True:
+            met = candidates(self.counted, self.common, self.texts, node, depth, self.threshold)
+            true = cut_lineage(met.join(a, "a").join(b, "b").where(dice("wa", "wb") > self.threshold).select("a", "b", "hits"))
+            seen = true.agg(F.count("*").alias("found"), F.count_if(F.col("hits") == 1).alias("once"), F.count_if(F.col("hits") == 2).alias("twice")).first()
+            self.recall = estimated_recall(seen.found, seen.once, seen.twice)
+            if self.recall >= self.target or depth == 1:
+                return true.select("a", "b")
+            node, depth = node * 8, max(1, depth - 2)
+
+    def card_pairs(self) -> DataFrame:
+        """(a, b) of ids: every pair of near-copies, within classes and across them, block by block, so that no task holds all members of a hot class."""
+        units = self.classes.select("u", "copies", F.ceil(F.col("copies") / BLOCK).cast("int").alias("blocks"))
+        ua, ub = (units.select(F.col("u").alias(x), F.col("blocks").alias(f"blocks_{x}")) for x in "ab")
+        across = self.pairs.join(ua, "a").join(ub, "b").withColumn("same", F.lit(False))
+        alone = units.where("copies > 1").select(F.col("u").alias("a"), F.col("u").alias("b"), F.col("blocks").alias("blocks_a"), F.col("blocks").alias("blocks_b"), F.lit(True).alias("same"))
+        met = across.unionByName(alone).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
+        met = met.withColumn("y", F.explode(F.sequence(F.when(F.col("same"), F.col("x")).otherwise(0), F.col("blocks_b") - 1)))
+        placed = self.members.join(units.select("u", "blocks"), "u").select("id", "u", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+        left, right = (placed.select(F.col("id").alias(f"i{k}"), F.col("u").alias(k), F.col("block").alias(at)) for k, at in (("a", "x"), ("b", "y")))
         once = ~F.col("same") | (F.col("x") != F.col("y")) | (F.col("ia") < F.col("ib"))
-        out = met.select("ca", "ta", "cb", "tb", "x", "y", "same").join(left, ["ca", "ta", "x"]).join(right, ["cb", "tb", "y"]).where(once).select("ia", "ib")
-        return (out if star is None else out.unionByName(star)).select(*pair("ia", "ib", "a", "b"))
+        return met.select("a", "b", "x", "y", "same").join(left, ["a", "x"]).join(right, ["b", "y"]).where(once).select(*pair("ia", "ib", "a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,20 +202,29 @@ def claims(cards: DataFrame) -> DataFrame:
     return records(cards, ["id", "claim"]).select("id", F.col("claim").alias("text"))
 
 
-def near_copies(cards: DataFrame, threshold: float = 0.85, every: bool = False) -> DataFrame:
-    """(card_id_a, card_id_b) of cards whose claims' word sets have a Dice similarity over ``threshold``.
+def near_copies(cards: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(card_id_a, card_id_b): every pair of cards whose claims' word sets have a Dice similarity over ``threshold``.
 
-    Repeated ids count once. Null claims and claims without a letter or digit are near no other. Unless ``every``,
-    more than ``EXPANDED`` exact copies of a claim are paired with the first of them only; pairs of different claims
-    are always whole.
+    Repeated ids count once. Null claims and claims without a letter or digit are near no other. A claim that n cards
+    share gives n (n - 1) / 2 rows; ``near_copy_classes`` and ``near_copy_groups`` tell the same by class.
     """
-    return Forest(claims(cards), threshold).card_pairs(every).select(F.col("a").alias("card_id_a"), F.col("b").alias("card_id_b"))
+    return Forest(claims(cards), threshold).card_pairs().select(F.col("a").alias("card_id_a"), F.col("b").alias("card_id_b"))
+
+
+def near_copy_classes(cards: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(class_id_a, class_id_b) of classes of equal word sets that are near-copies; a class is named by its least card id."""
+    forest = Forest(claims(cards), threshold)
+    a, b = (forest.classes.select(F.col("u").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    return forest.pairs.join(a, "a").join(b, "b").select(*pair("ca", "cb", "class_id_a", "class_id_b"))
 
 
 def near_copy_groups(cards: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(card_id, class_id, group_id, group_size) of every card with a claim: near-copies of near-copies are one group."""
     forest = Forest(claims(cards), threshold)
-    groups = components(forest.pairs)
-    out = forest.members.join(groups, F.col("c") == F.col("node"), "left").select(F.col("id").alias("card_id"), F.col("c").alias("class_id"), F.coalesce("group", "c").alias("group_id"))
-    sizes = out.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    return out.join(sizes, "group_id").select("card_id", "class_id", "group_id", "group_size")
+    names = forest.classes.select("u", "c")
+    edges = forest.pairs.join(names.select(F.col("u").alias("a"), F.col("c").alias("ca")), "a").join(names.select(F.col("u").alias("b"), F.col("c").alias("cb")), "b")
+    groups = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    named = forest.classes.select("u", "c", "copies").join(groups, F.col("c") == F.col("node"), "left").select("u", F.col("c").alias("class_id"), F.coalesce("group", "c").alias("group_id"), "copies")
+    sizes = named.groupBy("group_id").agg(F.sum("copies").alias("group_size"))
+    out = forest.members.join(named.join(sizes, "group_id").drop("copies"), "u")
+    return out.select(F.col("id").alias("card_id"), "class_id", "group_id", "group_size")

@@ -23,7 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": over("chat_responses generation_concepts source_blocks", cuts.cut_records),
     "p3_rates": over("chat_responses generation_concepts source_blocks", cuts.cut_rates),
     "p4_found": over("cards", pairs.defective_pairs),
-    "p5_found": over("cards", lambda c: neardup.near_copies(c, every=True)),
+    "p5_found": over("cards", neardup.near_copies),
+    "p5_classes": over("cards", neardup.near_copy_classes),
     "p5_groups": over("cards", neardup.near_copy_groups),
     "p6_found": over("source_blocks", scans.scan_noise),
     "p6_text": over("source_blocks", scans.repaired_pages),

@@ -69,13 +69,6 @@ def test_hot_nodes_are_joined_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in neardup.near_copies(cards(spark, rows)).collect()} == brute(rows)
 
 
-def test_many_copies_are_paired_with_the_first(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "EXPANDED", 3)
-    rows = [(f"k{i}", "One two three.") for i in range(5)] + [("z", "four five"), ("y", "five, four")]
-    got = {tuple(r) for r in neardup.near_copies(cards(spark, rows)).collect()}
-    assert got == {("k0", f"k{i}") for i in range(1, 5)} | {("y", "z")}
-
-
 def hot_class():
     rows = [(f"h{i:02}", "One two three four five six seven.") for i in range(9)]
     rows += [(f"m{i:02}", ["Seven six five four three two one!", "two one three four five six seven"][i % 2]) for i in range(7)]
@@ -83,7 +76,6 @@ def hot_class():
 
 
 def test_every_pair_of_a_hot_class(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(neardup, "EXPANDED", 3)
     monkeypatch.setattr(neardup, "BLOCK", 4)
     rows = hot_class()
     cards(spark, rows).write.parquet(f"{tmp_path}/cards.parquet")
@@ -91,14 +83,33 @@ def test_every_pair_of_a_hot_class(spark, monkeypatch, tmp_path):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
-def test_only_exact_copies_are_paired_with_the_first(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "EXPANDED", 8)
-    monkeypatch.setattr(neardup, "BLOCK", 4)
-    rows = hot_class()
-    text = dict(rows)
-    got = [tuple(r) for r in neardup.near_copies(cards(spark, rows)).collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == {(a, b) for a, b in brute(rows) if text[a] != text[b] or not a.startswith("h") or a == "h00"}
+def test_classes_of_a_hot_class(spark):
+    got = [tuple(r) for r in neardup.near_copy_classes(cards(spark, hot_class())).collect()]
+    assert sorted(got) == [("h00", "x"), ("h00", "y"), ("x", "y")]
+
+
+def test_recall_is_estimated_and_met_by_shortening(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE", 1)
+    monkeypatch.setattr(neardup, "TREES", 4)
+    rows = corpus(200, 7)
+    forest = neardup.Forest(neardup.claims(cards(spark, rows)), 0.85, target=0.99)
+    found = {tuple(r) for r in forest.card_pairs().collect()}
+    assert forest.recall >= 0.99 and len(found & brute(rows)) >= 0.97 * len(brute(rows)) and found <= brute(rows)
+    assert neardup.estimated_recall(0, 0, 0) == 1.0 and neardup.estimated_recall(90, 10, 4) == 90 / 99
+
+
+def test_a_closed_node_is_no_larger_than_its_rare_word_allows():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, 12)) for _ in range(500)]
+    flat, n = np.unique(np.concatenate(sets), return_counts=True)
+    counts = [n[np.searchsorted(flat, s)] for s in sets]
+    for tree in range(4):
+        key, closed = neardup.prefixes(sets, counts, 500, tree, 14, 6)
+        nodes, sizes = np.unique(key[closed], return_counts=True)
+        assert closed.any() and sizes.max() <= 14
+        assert not set(nodes) & set(key[~closed])
 
 
 def test_nulls_and_empty_table(spark):
