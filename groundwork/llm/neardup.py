@@ -101,11 +101,13 @@ def candidates(classes: DataFrame, common: dict[int, int], texts: int, node: int
                         count = np.where(own[at] == s, n[at], count)
                 counts.append(count)
             bits = np.array([np.bitwise_xor.reduce(np.uint64(1) << (s.view(np.uint64) & np.uint64(63))) for s in sets], np.uint64).view(np.int64)
-            for tree in range(TREES):
-                key, closed = prefixes(sets, counts, texts, tree, node, depth)
-                yield pd.DataFrame({"u": batch["u"], "n": batch["n"].astype(np.int32), "bits": bits, "node": key, "closed": closed})
+            made = [prefixes(sets, counts, texts, tree, node, depth) for tree in range(TREES)]
+            keys_of, closed = (list(np.stack(x, axis=1)) for x in zip(*made))
+            yield pd.DataFrame({"u": batch["u"], "n": batch["n"].astype(np.int32), "bits": bits, "nodes": keys_of, "closed": closed})
 
-    at = classes.select("u", "n", "words", "rare", "times").mapInPandas(nodes, "u long, n int, bits long, node long, closed boolean")
+    # the signatures are made once; they are read for closed nodes, open ones and the sizes of these
+    signed = cut_lineage(classes.select("u", "n", "words", "rare", "times").mapInPandas(nodes, "u long, n int, bits long, nodes array<long>, closed array<boolean>"))
+    at = signed.select("u", "n", "bits", F.explode(F.arrays_zip("nodes", "closed")).alias("t")).select("u", "n", "bits", F.col("t.nodes").alias("node"), F.col("t.closed").alias("closed"))
     plain = at.where("closed").select("node", "u", "n", "bits", F.lit(0).alias("block"), F.lit(0).alias("x"), F.lit(0).alias("y"))
     open_ = at.where("not closed").drop("closed")
     sizes = open_.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
