@@ -2,8 +2,8 @@
 
 Page furniture goes first: title lines that come back at the top or foot of a document's pages, and lines that hold a
 page number. Then words that go on in the next line are joined, with or without their hyphen, as the corpus writes
-them. A word that the corpus doesn't know is looked up in tries of the corpus vocabulary: each trie is walked together
-with the word's Levenshtein automaton, kept as one bit mask for each number of errors and extended by the confusions
+them. A word that the corpus doesn't know is looked up in tries of the corpus vocabulary, those that hold the words
+with its own beginning or end: each trie is walked together with the word's Levenshtein automaton, kept as one bit mask for each number of errors and extended by the confusions
 of scanners in which two letters stand for one, so every word within reach is found. Candidates are ranked by the
 confusion, by the neighbouring words and by frequency.
 """
@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 from groundwork.llm.common import cut_lineage, records
 from groundwork.llm.looks import skeleton
 
-#: Errors of a scanner within a word, words of the vocabulary in one trie, and words looked up by one task.
-ERRORS, TRIE, LOOKED_UP = 1, 40_000, 2_000
+#: Errors of a scanner within a word; words of the vocabulary in one trie and words looked up in it, on average.
+ERRORS, TRIE, LOOKED_UP = 1, 40_000, 6_000
+#: Words that make up at least 1 / FREQUENT of all words, at most FREQUENT of them, are told to the readers of tokens.
+FREQUENT = 20_000
+#: The share of all words that a word of two, or of three letters must have to be what a scanner meant.
+SHARE_OF_SHORT = {2: 1 / 2_000, 3: 1 / 20_000}
 #: Pages of a document on which an edge line must stand to be its running header.
 HEADER_PAGES = 2
 
@@ -42,6 +46,12 @@ TOKEN = regex.compile(r"\S+")
 #: Names of files and the like, and figures with a unit.
 COMPOUND = regex.compile(r"\p{L}[./@:\\]\p{L}|\d[./@:\\]\p{L}|\p{L}[./@:\\]\d|//|<\|")
 UNIT = regex.compile(r"\d+\p{L}{1,3}")
+#: A figure that a scanner may have read for the first letter of a word.
+LED = regex.compile(r"[015]\p{Ll}{2,3}(?<!st|th|nd|rd)")
+REFERENCE = regex.compile(r"\[\d+\]\W*$")
+#: How words are elided before another.
+ELIDED = r"^(?:[cdjlmnst]|qu)['’](\p{L}{3,})$"
+WHOLE_OF_ELIDED = regex.compile(ELIDED)
 TRIM = "\"“”„«»()[]{}.,;:?…–—‘’*•"
 #: The signs that a scanner puts within or beside a word.
 ODD = "!|$@€"
@@ -60,14 +70,14 @@ def folded(line: str) -> str:
 
 def word_of(token: str) -> str:
     """A token without the marks around it."""
-    s = token.strip(TRIM)
+    s = REFERENCE.sub("", token).strip(TRIM)
     while s and s[-1] in "!?" and len(s) > 1:
         s = s[:-1].rstrip(TRIM)
     return s
 
 
 def vocabulary(blocks: DataFrame) -> DataFrame:
-    """(word, native, scanned): how often each word, hyphenated ones whole and in parts, stands in native and in scanned text."""
+    """(word, native, scanned): how often each word, hyphenated and elided ones whole and in parts, stands in native and in scanned text."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,6 +93,8 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
                         if "-" in w:
                             for part in filter(None, w.split("-")):
                                 into[part] += n
+                        elif m := WHOLE_OF_ELIDED.match(w):
+                            into[m.group(1)] += n
             words = list(native | scanned)
             yield pd.DataFrame({"word": words, "native": [native[w] for w in words], "scanned": [scanned[w] for w in words]})
 
@@ -192,20 +204,28 @@ def furniture(scans: DataFrame, versions: DataFrame | None = None) -> DataFrame:
                     if n in outer:
                         key = folded(ln)
                         number = n in numbers
-                        if number or key and len(ln) <= 120 and not regex.search(r"[.!?;:,]\s*$", ln):
-                            out.append((block, version, page, n, None if number else key))
-            yield pd.DataFrame(out, columns=["id", "version", "page", "line_no", "key"])
-
-    at = scans.select("id", "document_version_id", "page_index", "raw_text").mapInPandas(edges, "id string, version string, page int, line_no int, key string")
+                        if number or key and not regex.search(r"[.!?;:,]\s*$", ln):
+                            out.append((block, version, page, n, None if number else key, None))
+                # a number next to an edge line is the page's if that line turns out to be a header
+                for (near, _), (n, ln) in [(lines[0], lines[1]), (lines[-1], lines[-2])] if len(lines) > 2 else []:
+                    if near not in numbers and n not in outer and NUMBER_LINE.match(ln):
+                        out.append((block, version, page, n, None, near))
+            yield pd.DataFrame(out, columns=["id", "version", "page", "line_no", "key", "near"]).astype({"near": "Int32"})
+
+    at = scans.select("id", "document_version_id", "page_index", "raw_text").mapInPandas(edges, "id string, version string, page int, line_no int, key string, near int")
     at = cut_lineage(at)
-    numbers = at.where("key is null").select("id", "line_no", F.lit("page_number").alias("noise"))
+    numbers = at.where("key is null and near is null").select("id", "line_no", F.lit("page_number").alias("noise"))
     titled = at.where("key is not null")
-    often = titled.groupBy("version", "key").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= HEADER_PAGES).select("version", "key")
-    # a title read wrongly in several places is still near one of its document's headers
-    distance = F.levenshtein("key", "header")
-    near = titled.join(often.withColumnRenamed("key", "header"), "version").where((F.col("key") == F.col("header")) | (distance <= F.greatest(F.lit(2), F.length("header") / 6)) & (F.length("header") >= 6))
-    headers = near.select("id", "line_no", F.lit("running_header").alias("noise"))
-    return headers.unionByName(numbers).distinct()
+    keys = titled.groupBy("version", "key").agg((F.count_distinct("page") >= HEADER_PAGES).alias("often"))
+    often = keys.where("often").select("version", "key")
+    # a title read wrongly in several places is still near one of its document's headers; such are compared by their lengths
+    reach = F.greatest(F.lit(2), F.floor(F.length("header") / 6).cast("int"))
+    header = often.withColumnRenamed("key", "header").where(F.length("header") >= 6).withColumn("reach", reach).withColumn("size", F.explode(F.expr("sequence(length(header) - reach, length(header) + reach)")))
+    rare = keys.where("not often").select("version", "key", F.length("key").alias("size"))
+    near = rare.join(header, ["version", "size"]).where(F.levenshtein("key", "header") <= F.col("reach")).select("version", "key").distinct()
+    headers = titled.join(often.unionByName(near), ["version", "key"]).select("id", "line_no", F.lit("running_header").alias("noise"))
+    beside = at.where("near is not null").join(headers.select("id", F.col("line_no").alias("near")), ["id", "near"], "left_semi").select("id", "line_no", F.lit("page_number").alias("noise"))
+    return headers.unionByName(numbers).unionByName(beside).distinct()
 
 
 class Reading:
@@ -218,44 +238,55 @@ class Reading:
         self.furniture = cut_lineage(furniture(self.scans))
         lines = self.furniture.groupBy("id").agg(F.collect_set("line_no").alias("skip"))
         self.marked = self.scans.join(lines, "id", "left").select("id", "raw_text", "skip")
+        self.total = self.words.agg(F.coalesce(F.sum(F.col("native") + F.col("scanned")), F.lit(0)).alias("n")).first().n
         self.tokens = cut_lineage(self._tokens())
         self._look_up()
 
     def _tokens(self) -> DataFrame:
+        # words that native text has in plenty need no look-up; they are the hot keys of every join by word
+        frequent = frozenset(r.word for r in self.words.where((F.col("native") > 0) & (F.col("native") * FREQUENT >= self.total)).select("word").collect())
+
         def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
                 for block, text, skip in zip(batch["id"], batch["raw_text"], batch["skip"]):
-                    out += [(block, *t) for t in block_tokens(text, set() if skip is None else set(skip))]
-                yield pd.DataFrame(out, columns=["id", "line_no", "at", "word", "sign", "cut_at", "hyphened", "previous", "following"])
+                    out += [(block, *t, not t[3] and t[2] in frequent) for t in block_tokens(text, set() if skip is None else set(skip))]
+                yield pd.DataFrame(out, columns=["id", "line_no", "at", "word", "sign", "cut_at", "hyphened", "previous", "following", "known"])
 
-        return self.marked.mapInPandas(tokens, "id string, line_no int, at int, word string, sign string, cut_at int, hyphened string, previous string, following string")
+        return self.marked.mapInPandas(tokens, "id string, line_no int, at int, word string, sign string, cut_at int, hyphened string, previous string, following string, known boolean")
 
     def _look_up(self) -> None:
         w = self.words.select("word", "native", "scanned")
-        # splits first: how the corpus writes the word
+        # splits first: how the corpus writes the word, asked once for each form
         s = self.tokens.where("sign <> ''")
         left, right = F.substring_index("hyphened", "-", 1), F.substring_index("hyphened", "-", -1)
-        asked = s.select("id", "line_no", "at", "word", "sign", "cut_at", "hyphened", "previous", "following", F.explode(F.array(F.struct(F.lit("j").alias("k"), F.col("word").alias("w")), F.struct(F.lit("h").alias("k"), F.col("hyphened").alias("w")), F.struct(F.lit("l").alias("k"), left.alias("w")), F.struct(F.lit("r").alias("k"), right.alias("w")))).alias("q"))
-        asked = asked.select("*", F.col("q.k").alias("k"), F.col("q.w").alias("w")).drop("q").join(w.select(F.col("word").alias("w"), "native"), "w", "left")
+        forms = s.select("word", "hyphened").distinct().withColumn("q", F.explode(F.array(F.struct(F.lit("j").alias("k"), F.col("word").alias("w")), F.struct(F.lit("h").alias("k"), F.col("hyphened").alias("w")), F.struct(F.lit("l").alias("k"), left.alias("w")), F.struct(F.lit("r").alias("k"), right.alias("w")))))
+        asked = forms.select("word", "hyphened", "q.k", "q.w").join(w.select(F.col("word").alias("w"), "native"), "w", "left")
         pick = lambda k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("native"))), F.lit(0)).alias(k)
-        split = asked.groupBy("id", "line_no", "at", "word", "sign", "cut_at", "hyphened", "previous", "following").agg(pick("j"), pick("h"), pick("l"), pick("r"))
+        written = asked.groupBy("word", "hyphened").agg(pick("j"), pick("h"), pick("l"), pick("r"))
+        split = s.join(written, ["word", "hyphened"])
         own_hyphen = (F.col("h") > F.col("j")) | ((F.col("h") == 0) & (F.col("j") == 0) & F.col("sign").isin("-", "‐", "‑") & (F.col("l") > 1) & (F.col("r") > 1) & (F.length(left) > 2) & (F.length(right) > 2))
         self.splits = cut_lineage(split.withColumn("noise", F.when(own_hyphen, "split_compound").otherwise("split_word")))
         joined = self.splits.select("id", "line_no", "at", F.when(F.col("noise") == "split_word", F.col("word")).otherwise(F.col("hyphened")).alias("word"), F.lit(True).alias("joined"), F.when(F.col("noise") == "split_word", F.col("cut_at")).otherwise(F.col("cut_at") + 1).alias("cut_at"), "previous", "following")
-        plain = self.tokens.where("sign = ''").select("id", "line_no", "at", "word", F.lit(False).alias("joined"), "cut_at", "previous", "following")
-        every = joined.unionByName(plain).join(w, "word", "left").fillna(0, ["native", "scanned"])
-        # a hyphened word that the corpus doesn't know is asked by its parts
-        unknown = cut_lineage(every.where("native = 0"))
-        parts = unknown.withColumn("part", F.explode(F.split("word", "-"))).where("part <> ''")
+        plain = self.tokens.where("sign = '' and not known").select("id", "line_no", "at", "word", F.lit(False).alias("joined"), "cut_at", "previous", "following")
+        every = joined.unionByName(plain)
+        # a hyphened or elided word that the corpus doesn't know is asked by its parts
+        new = every.select("word").distinct().join(w.where("native > 0").select("word"), "word", "left_anti")
+        parts = new.withColumn("part", F.explode(F.array_union(F.split("word", "-"), F.array(F.regexp_extract("word", ELIDED, 1))))).where("length(part) > 1")
         parts = parts.join(w.select(F.col("word").alias("part"), F.col("native").alias("pn"), F.col("scanned").alias("ps")), "part", "left").fillna(0, ["pn", "ps"])
-        self.unknown = cut_lineage(parts.where("pn = 0 and length(part) > 2").select("id", "line_no", "at", "word", "part", "joined", "cut_at", "previous", "following", "ps"))
-        queries = self.unknown.groupBy("part").agg(F.max("ps").alias("times"))
-        able = w.where(r"(native > 0 or scanned > 2) and length(word) > 2 and word rlike '^[\\p{L}\\p{M}]+$'")
+        parts = parts.where("pn = 0").select("word", "part", "ps").distinct()
+        self.unknown = cut_lineage(every.join(parts, "word"))
+        queries = parts.groupBy("part").agg(F.max("ps").alias("times"))
+        able = w.where(r"(native > 0 or scanned > 2) and length(word) > 1 and word rlike '^[\\p{L}\\p{M}]+$'")
         n_words, n_queries = able.count(), queries.count()
-        shards, chunks = max(1, -(-n_words // TRIE)), max(1, -(-n_queries // LOOKED_UP))
-        a = able.select(F.pmod(F.xxhash64("word"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "word", "native", "scanned")
-        q = queries.select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.pmod(F.xxhash64("part"), F.lit(chunks)).cast("int").alias("chunk"), "part", "times")
+        tries = max(1, -(-2 * n_words // TRIE), -(-6 * n_queries // LOOKED_UP))
+        total = self.total
+        # two words that differ in one place of at most two letters share their beginning or end, each just under half of the word
+        half = F.expr("int((size - 1) / 2)")
+        place = lambda word: F.array(F.struct(F.lit(0).alias("side"), F.expr(f"substring({word}, 1, half)").alias("share")), F.struct(F.lit(1).alias("side"), F.expr(f"substring({word}, length({word}) - half + 1, half)").alias("share")))
+        trie_of = F.pmod(F.xxhash64("size", "p.side", "p.share"), F.lit(tries)).cast("int").alias("trie")
+        a = able.withColumn("size", F.length("word")).withColumn("half", half).withColumn("p", F.explode(place("word"))).select(trie_of, "word", "native", "scanned").distinct()
+        q = queries.withColumn("size", F.explode(F.expr("sequence(length(part) - 1, length(part) + 1)"))).withColumn("half", half).withColumn("p", F.explode(place("part"))).select(trie_of, "part", "times").distinct()
 
         def found(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             trie = make_trie(words["word"].tolist())
@@ -265,11 +296,12 @@ class Reading:
                 for v in within(trie, part):
                     native, scanned = n[v]
                     cost = confusion(part, v)
-                    if v != part and (native > 0 or scanned >= 4 * max(times, 1)) and plausible(part, v, cost, native + scanned):
+                    if v != part and (native > 0 or scanned >= 4 * max(times, 1)) and plausible(part, v, cost, native + scanned, times, total):
                         out.append((part, v, cost, native + scanned))
             return pd.DataFrame(out, columns=["part", "meant", "cost", "n"])
 
-        self.candidates = cut_lineage(a.groupBy("shard", "chunk").cogroup(q.groupBy("shard", "chunk")).applyInPandas(found, "part string, meant string, cost int, n long"))
+        made = a.groupBy("trie").cogroup(q.groupBy("trie")).applyInPandas(found, "part string, meant string, cost int, n long")
+        self.candidates = cut_lineage(made.distinct())
         self._rank()
 
     def _rank(self) -> None:
@@ -288,27 +320,26 @@ class Reading:
         self.best = scored.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("id", "line_no", "at", "part", "meant")
 
     def misread(self) -> DataFrame:
-        """(id, line_no, at, word, part, meant): misread words; ``meant`` is null where only a sign within the word tells."""
-        odd = F.col("part").rlike(r"^(?=.*\p{L}.*\p{L}.*\p{L})[\p{L}\p{M}'’]*\p{L}[0-9!|$@€]\p{L}[\p{L}\p{M}]*$|^(?:[015]\p{Ll}{3,}|\p{L}{3,}[015])$")
-        told = self.unknown.join(self.best, ["id", "line_no", "at", "part"], "left").where(F.col("meant").isNotNull() | odd)
+        """(id, line_no, at, word, part, meant, joined, on_line): misread words and what they were."""
+        told = self.unknown.join(self.best, ["id", "line_no", "at", "part"])
         # a word that goes on in the next line lies where its wrong letter lies
-        wrong = F.when(F.col("meant").isNull(), F.lit(0)).otherwise(F.expr("coalesce(array_position(transform(sequence(1, length(part)), i -> substring(part, i, 1) <> substring(meant, i, 1)), true), 1)").cast("int"))
+        wrong = F.expr("coalesce(array_position(transform(sequence(1, length(part)), i -> substring(part, i, 1) <> substring(meant, i, 1)), true), 1)").cast("int")
         where = F.instr(F.col("word"), F.col("part"))
         line = F.when(F.col("joined") & ((where + wrong - 1) > F.col("cut_at")), F.col("line_no") + 1).otherwise(F.col("line_no"))
-        return told.select("id", "line_no", "at", "word", "part", "meant", line.alias("on_line"))
+        return told.select("id", "line_no", "at", "word", "part", "meant", "joined", line.alias("on_line"))
 
 
-def plausible(read: str, meant: str, cost: int, n: int) -> bool:
-    """Whether a candidate is near enough: short words need a scanner's own confusion and a common word."""
+def plausible(read: str, meant: str, cost: int, n: int, times: int, total: int) -> bool:
+    """Whether a candidate is near enough, and common enough beside the ``times`` of what was read; the shorter, the more so."""
     if abs(len(read) - len(meant)) > 1 and cost:
         return False
     if len(read) < 4:
-        return cost == 0 and n >= 50
+        return cost == 0 and len(meant) > 1 and n >= SHARE_OF_SHORT[min(len(meant), 3)] * total and n >= 10 * times
     if cost == 0:
         return True
     if cost == 1:
-        return (len(read) >= 5 or not read.isalpha()) and n >= 2
-    return len(read) >= 6 and n >= 5
+        return (len(read) >= 5 or not read.isalpha()) and n >= 2 * times
+    return len(read) >= 6 and n >= 5 * times
 
 
 def block_tokens(text: str, skip: set[int]) -> list[tuple]:
@@ -345,7 +376,7 @@ def block_tokens(text: str, skip: set[int]) -> list[tuple]:
                 continue
             if "'" in raw and raw.rstrip(".,;:?)”\"").endswith("'") and w and not raw.startswith("'"):
                 w = raw.strip(TRIM.replace("’", ""))
-            if w.isalpha() or any(ch.isalpha() for ch in w) and not UNIT.fullmatch(w):
+            if w.isalpha() or any(ch.isalpha() for ch in w) and (LED.fullmatch(w) or not UNIT.fullmatch(w)):
                 out.append([n, t.start(), w.lower(), "", 0, ""])
         if split:
             left, sign, right = split
@@ -369,29 +400,47 @@ def scan_noise(blocks: DataFrame) -> DataFrame:
     return r.furniture.unionByName(splits).unionByName(misread).distinct().select(F.col("id").alias("block_id"), "line_no", "noise")
 
 
-def repaired_text(text: str, skip: set[int], splits: dict[int, str], words: dict[tuple[int, int], list[tuple[str, str]]]) -> str:
-    """A block's paragraphs, each in one line, one empty line between them."""
-    lines, paragraphs, now, taken, glue = text.split("\n"), [], "", 0, None
+def replaced(text: str, part: str, meant: str, start: int) -> str:
+    """``text`` with the first ``part`` from ``start`` on as ``meant``, in the case it is written in."""
+    i = text.lower().find(part, start)
+    if i < 0 or text[i : i + len(part)].lower() != part:
+        return text
+    old = text[i : i + len(part)]
+    return text[:i] + (meant.upper() if old.isupper() and len(old) > 1 else meant.capitalize() if old[0].isupper() else meant) + text[i + len(part) :]
+
+
+def repaired_text(text: str, skip: set[int], splits: dict[int, str], words: dict[tuple[int, int, bool], list[tuple[str, str]]]) -> str:
+    """A block's paragraphs, each in one line, one empty line between them.
+
+    ``words`` has the misread parts of words by (line, place, whether the word goes on in the next line); such a word is
+    put right when its two halves are joined.
+    """
+    lines, paragraphs, now, glue = text.split("\n"), [], "", None
     for n, line in enumerate(lines, 1):
         if n in skip:
             continue
         if not line.strip():
             if now:
                 paragraphs.append(now)
-            now, taken, glue = "", 0, None
+            now, glue = "", None
             continue
         line = skeleton(line) if not line.isascii() else line
-        for (_, at), swaps in sorted(((k, v) for k, v in words.items() if k[0] == n), reverse=True):
+        for (_, at, _), swaps in sorted(((k, v) for k, v in words.items() if k[0] == n and not k[2]), reverse=True):
             for part, meant in swaps:
-                i = line.lower().find(part, max(0, at))
-                if i >= 0 and line[i : i + len(part)].lower() == part:
-                    new = meant.upper() if line[i : i + len(part)].isupper() and len(part) > 1 else meant.capitalize() if line[i].isupper() else meant
-                    line = line[:i] + new + line[i + len(part) :]
+                line = replaced(line, part, meant, max(0, at))
         core = line.strip()
         if n in splits:
             core = core.rstrip(SIGN + " ")
             core += "-" if splits[n] == "split_compound" else ""
-        now += core if glue is not None or not now else " " + core
+        if glue is None:
+            now += " " + core if now else core
+        else:
+            start = now.rfind(" ") + 1
+            now += core
+            for (k, _, joined), swaps in words.items():
+                if joined and k == glue:
+                    for part, meant in swaps:
+                        now = replaced(now, part, meant, start)
         glue = n if n in splits else None
     if now:
         paragraphs.append(now)
@@ -402,16 +451,16 @@ def repaired_pages(blocks: DataFrame) -> DataFrame:
     """(block_id, text) of every scanned block: furniture gone, words joined and put right, lines reflowed."""
     r = Reading(blocks)
     splits = r.splits.groupBy("id").agg(F.collect_list(F.struct("line_no", "noise")).alias("splits"))
-    words = r.misread().where("meant is not null and not (word <> part and line_no <> on_line)").groupBy("id").agg(F.collect_list(F.struct("line_no", "at", "part", "meant")).alias("words"))
+    words = r.misread().groupBy("id").agg(F.collect_list(F.struct("line_no", "at", "joined", "part", "meant")).alias("words"))
     at = r.marked.join(splits, "id", "left").join(words, "id", "left")
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text, skip, split, word in zip(batch["raw_text"], batch["skip"], batch["splits"], batch["words"]):
-                swaps: dict[tuple[int, int], list[tuple[str, str]]] = {}
+                swaps: dict[tuple[int, int, bool], list[tuple[str, str]]] = {}
                 for x in word if word is not None else ():
-                    swaps.setdefault((x["line_no"], x["at"]), []).append((x["part"], x["meant"]))
+                    swaps.setdefault((x["line_no"], x["at"], x["joined"]), []).append((x["part"], x["meant"]))
                 out.append(repaired_text(text, set() if skip is None else set(skip), {x["line_no"]: x["noise"] for x in split} if split is not None else {}, swaps))
             yield pd.DataFrame({"block_id": batch["id"], "text": out})
 

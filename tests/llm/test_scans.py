@@ -55,6 +55,15 @@ def test_repair(spark):
     assert got["s2"] == "The saturation of each modern reservoir between seasons: 42\n\nThe vat."
 
 
+def test_split_and_misread_words_are_put_right(spark):
+    native = [(f"n{i}", "v0", i, "the normal condition of l'enzyme is stable in the low-lying vat", "native") for i in range(60)]
+    text = "Head\nxii\nThe normal condi-\ntlon ls stable. The low-\nlying vat of l'enzyrne.[74]"
+    df = spark.createDataFrame([(*b, "") for b in [*native, ("s", "v", 1, text, "ocr"), ("t", "v", 2, "Head\n\nThe vat", "ocr")]], SCHEMA)
+    assert {r.block_id: r.text for r in scans.repaired_pages(df).collect()} == {"s": "The normal condition is stable. The low-lying vat of l'enzyme.[74]", "t": "The vat"}
+    got = {tuple(r) for r in scans.scan_noise(df).collect()}
+    assert got == {("s", 1, "running_header"), ("t", 1, "running_header"), ("s", 2, "page_number"), ("s", 3, "split_word"), ("s", 4, "misread"), ("s", 4, "split_compound"), ("s", 5, "misread")}
+
+
 def test_nothing_to_read(spark):
     assert found(spark, []) == set()
     assert found(spark, [("n", "v", 1, NATIVE, "native")]) == set()
