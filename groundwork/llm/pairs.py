@@ -25,34 +25,43 @@ SHINGLE, CONTAINED, SAID_AGAIN = 3, 0.95, 0.8
 
 #: What stands where an answer should, as words.
 NOTHING = frozenset(["", "a", "answer", "na", "n a", "none", "null", "nil", "nan", "tbd", "tba", "tbc", "todo", "to do", "no answer", "not available", "not applicable", "no response", "no data", "empty", "blank", "missing", "undefined", "placeholder", "xxx", "xx", "pending", "to be added", "to be done", "to be determined", "to follow", "answer here", "answer missing", "see above", "see below", "keine", "keine antwort", "keine angabe", "k a", "aucune", "aucune réponse", "sans réponse", "néant", "sin respuesta", "ninguna", "ninguno", "antwort", "réponse", "respuesta", "lorem ipsum"])
-#: Templates of refusals as words; * stands for any one or two words.
-REFUSALS = [t.split() for t in """
-i cannot help|i can t help|i can not help|i cannot answer|i can t answer|i cannot provide|i can t provide|i cannot comply|i cannot assist|i can t assist|i cannot write|i can t write|i cannot give|i can t give|i cannot say|i cannot discuss|i can t discuss|i cannot do|i can t do|i cannot fulfil|i cannot fulfill|i cannot generate|i cannot create|i cannot complete|i cannot respond|i can t respond|i cannot share|i cannot verify|i cannot comment|i could not answer|i couldn t answer|cannot help with that
-i am unable to|i m unable to|i am not able to|i m not able to|i won t be able to|i will not be able to|i am not allowed to|i m not allowed to|i am not permitted to|i m not comfortable|i must decline|i have to decline|i need to decline|i decline to|i refuse to|i would rather not|i d rather not|i prefer not to|i will not answer|i won t answer|i don t feel able
-i do not have enough information|i don t have enough information|i do not have access|i don t have access|i do not know|i don t know enough|not enough information to
-unable to comply|unable to answer|unable to assist|unable to help|unable to provide|unable to process|unable to fulfil|unable to respond
-my guidelines|my policy|my instructions do not|my programming|my rules do not|guidelines do not allow|policy does not allow|against my|as a language model|as an ai|as an assistant|i am only a|i am just a|i m just a
-outside what i can|beyond what i can|outside the scope of what|outside of what i|not something i can|that request * is outside|this request * is outside|request cannot be|request can t be|question cannot be answered|no answer can be given|no answer is possible|answer cannot be given|cannot be answered
-sorry i can t|sorry i cannot|sorry but i|i m sorry|i am sorry|i apologize|i apologise|my apologies|sorry no|sorry this|sorry that|sorry we
-es tut mir leid|tut mir leid|ich kann dir|ich kann ihnen|ich kann diese|ich kann das|ich kann dabei|ich kann dazu|ich kann darauf|ich kann hier|dabei kann ich nicht|dazu kann ich|das kann ich nicht|hierzu kann ich|darauf kann ich|kann ich nicht helfen|kann ich nicht beantworten|ich bin nicht in der lage|mir ist es nicht möglich|es ist mir nicht möglich|ist mir nicht möglich|ich darf|leider kann ich|ich möchte * nicht beantworten|als sprachmodell|als ki
-il m est impossible|je ne peux pas|je ne puis|je ne suis pas en mesure|je suis désolé|je suis désolée|désolé|désolée|je regrette|je ne peux répondre|je suis incapable|je refuse|en tant que modèle|je n ai pas assez|impossible de vous aider|je préfère ne pas|je ne saurais
-lo siento|no puedo ayudar|no puedo responder|no puedo contestar|no puedo proporcionar|no puedo cumplir|no me es posible|me es imposible|no estoy en condiciones|no soy capaz|no estoy autorizado|como modelo de lenguaje|prefiero no|no dispongo de|no tengo suficiente|disculpa|lamento
-извините|не могу ответить|не могу помочь|к сожалению я|对不起|抱歉|无法回答|申し訳|お答えできません
-""".replace("\n", "|").strip("|").split("|")]
-REFUSAL_STARTS: dict[str, list[list[str]]] = {}
-for _t in REFUSALS:
-    if _t:
-        REFUSAL_STARTS.setdefault(_t[0], []).append(_t)
+#: Templates of refusals as words, / between words that may stand for one another, * up to three words, ~ up to eight.
+REFUSALS = """
+i cannot help/answer/provide/comply/assist/write/give/say/discuss/do/fulfil/fulfill/generate/create/complete/respond/share/verify/comment/support/tell|i could not answer/help|cannot help with that/this
+i am unable to|i am not able/allowed/permitted/comfortable|i will not be able|i will not answer/help/write/do|i must/have/need ~ decline|i decline/refuse to|i would rather not|i prefer not to|i do not feel able|unable to comply/answer/assist/help/provide/process/fulfil/respond/verify
+i do not have ~ enough information/material/context|i do not have enough/access|i do not know enough|not enough information to
+my guidelines/policy/policies/instructions/programming/rules do/does/forbid not/it/this/that|against my guidelines/policy/policies/rules/programming/instructions|as a language model|as an ai/assistant i|i am only/just a/an ~ model/assistant/ai
+outside/beyond/not * what/something i can|outside the scope of what i|request cannot be|question/answer cannot be answered/given|no answer can/is be/possible
+sorry i cannot/will|sorry but i|i am sorry but/that/i|my apologies but/i|sorry no answer|i apologize/apologise but/that/i
+es tut mir leid|tut mir leid ~ nicht/keine/kein|ich kann/darf/möchte/könnte ~ nicht/keine/kein/keinen ~ helfen/weiterhelfen/beantworten/antworten/sagen/geben/erfüllen/liefern/bereitstellen/erstellen/nachkommen/eingehen
+kann/darf/möchte ich ~ nicht/keine/kein/keinen ~ helfen/weiterhelfen/beantworten/antworten/sagen/geben/erfüllen/liefern/bereitstellen/erstellen/nachkommen/eingehen
+ich bin nicht in der lage|mir ist/es ~ nicht möglich|als sprachmodell ~ ich|als ki ~ ich
+il m'est impossible|je ne peux/puis/saurais pas/répondre/rien|je ne suis pas en mesure|je suis désolé/désolée|je regrette mais|je suis incapable de|je refuse de|en tant que modèle|je n'ai pas assez|impossible de vous aider|je préfère ne pas
+lo siento|no puedo ayudar/responder/contestar/proporcionar/cumplir/opinar/decir|no me es ~ posible|me es imposible|no estoy en condiciones|no soy capaz de|no estoy autorizado|como modelo de lenguaje|prefiero no responder/contestar|no dispongo de ~ información|no tengo suficiente ~ información
+извините|не могу ответить/помочь|к сожалению я не|对不起|抱歉|无法回答|申し訳|お答えできません
+"""
+#: Each template as (most words between, words of the place), by its first words.
+REFUSAL_STARTS: dict[str, list[list[tuple[int, frozenset[str]]]]] = {}
+for _template in REFUSALS.replace("\n", "|").strip("|").split("|"):
+    _gap, _places = 1, []
+    for _word in _template.split():
+        if _word in "*~":
+            _gap = {"*": 3, "~": 8}[_word]
+        else:
+            _places.append((_gap, frozenset(_word.split("/"))))
+            _gap = 1
+    for _word in _places[0][1] if _places else ():
+        REFUSAL_STARTS.setdefault(_word, []).append(_places)
 
 #: Function words of languages in Latin letters.
 FUNCTION_WORDS = {lang: frozenset(words.split()) for lang, words in {
-    "en": "the of and to in is was were are that it its they them with for by at from this which when without before after only has had have be been not as an than then no so would could such there their into once on or if but he she his her what where why how who does did between both",
-    "de": "der die das und ist wird wurde den dem des ein eine einen einem einer nicht mit für auf von zu im am er sie es sich auch ohne dass wie als nach nur wenn weil war waren hat haben um bei aus durch zwischen an vom zum zur seinen seinem oder warum wofür wo wer so viel langsam handelt",
-    "fr": "le la les un une des du de et est dans que qui il elle pour par sur pas avec après avant sans seulement ce cette son sa ses au aux a été était plus où on ne se en à comme mais ou lentement il agit près selon quoi combien réduit",
-    "es": "el la los las un una unos de del y es en que se por para con sin después antes más no al lo su sus como pero o fue era está son también aunque solo sobre poco porque cuando cerca según entre hasta qué cuánto reduce junto",
-    "it": "il lo gli un una di del della e è in che si per con senza dopo prima più non al la le suo sua come ma o fu era sono anche solo su poco perché quando",
-    "pt": "o os as um uma de do da e é em que se por para com sem depois antes mais não ao seu sua como mas ou foi era são também só sobre pouco porque quando dos das",
-    "nl": "de het een en is van in dat op te zijn met voor niet aan er om ook als bij maar uit door na naar dan nog werd wordt alleen hij ze dit deze",
+    "en": "the of and to in is was were are that it its they them with for by at from this these those which when without before after only has had have be been being not as an than then no would could should will can may must such there their into once on or if but he she his her we you your our what where why how who whose does did do between both each any some more most very also while until since because about over under through during",
+    "de": "der die das und ist wird werden wurde wurden den dem des ein eine einen einem einer eines nicht mit für auf von zu im am er sie es sich auch ohne dass daß wie als nach nur wenn weil da war waren hat haben hatte um bei aus durch zwischen an vom zum zur sein seine seinen seinem seiner ihr ihre ihren oder aber denn doch warum wofür wo wer was welche welcher welches man kann können so viel mehr noch schon sehr über unter vor bis seit gegen diese dieser dieses kein keine jede jeder",
+    "fr": "à le la les un une des du de et est sont dans que qui il elle ils elles on nous vous je se par pour sur pas avec après avant sans seulement ce cet cette ces son sa ses leur leurs au aux a ont été était étaient être avoir plus moins où ne en y comme mais ou donc car ni si quoi quel quelle lequel combien selon entre sous vers chez près très aussi même tout tous toute toutes dont lorsque quand parce",
+    "es": "a el la los las un una unos unas de del y e es son en que quien se por para con sin después antes más menos no al lo le les su sus como pero o u fue fueron era eran está están ser sido también aunque solo sobre muy porque cuando donde cuál cuánto qué cerca según entre hasta desde hacia ya si ni este esta estos estas ese esa esto otro otra cada todo todos toda todas hay ha han",
+    "it": "a il lo gli i un uno una di del della dello dei degli delle e è sono in nel nella che chi si per con senza dopo prima più meno non al alla le suo sua loro come ma o fu era erano anche solo su sul sulla perché quando dove quale quanto tra fra ha hanno questo questa",
+    "pt": "a o os as um uma uns umas de do da e é são em no na que quem se por para com sem depois antes mais menos não ao à seu sua como mas ou foi era eram também só sobre muito porque quando onde qual quanto dos das entre até desde já este esta isso tem têm há",
+    "nl": "de het een en is zijn was van in dat die op te met voor niet aan er om ook als bij maar uit door naar dan nog werd wordt worden alleen hij ze zij dit deze wat waar wie hoe waarom welke kan kunnen heeft hebben over onder tussen tot geen",
 }.items()}
 SCRIPT_LANGUAGES = [("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("zh", regex.compile(r"\p{Han}")), ("ko", regex.compile(r"\p{Hangul}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("ar", regex.compile(r"\p{Arabic}")), ("hi", regex.compile(r"\p{Devanagari}")), ("th", regex.compile(r"\p{Thai}")), ("el", regex.compile(r"\p{Greek}")), ("he", regex.compile(r"\p{Hebrew}"))]
 #: Fixed value: how a prompt asks for another language.
@@ -61,6 +70,9 @@ ASKS_FOR_LANGUAGE = regex.compile(r"\b(?:translat\w*|übersetz\w*|tradui\w*|trad
 NO_END = frozenset("the a an of to and or in with by for from at as that which who when where because since than into its their his her is are was were be been but so if on between der die das den dem des und oder mit von zu im ein eine einen einem einer dass weil wenn für auf nach bei als durch um le la les un une des du de et ou que qui dans pour par sur avec en au aux el los las una y o del con para por se su al lo como".split())
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[.,]\p{N}+)*")
+#: Contractions and what they stand for, in the order in which they are written out.
+CONTRACTED = (("can't", "cannot"), ("can not", "cannot"), ("won't", "will not"), ("n't", " not"), ("i'm", "i am"), ("i'd", "i would"), ("i've", "i have"))
+SPOKEN_WORD = regex.compile(r"\p{Han}+|[\p{Hiragana}\p{Katakana}\p{Han}]+|[\p{L}\p{M}\p{N}]+(?:'[\p{L}\p{M}]+)?")
 MARKUP = regex.compile(r"\{\{c\d+::(.*?)(?:::[^{}]*)?\}\}", regex.DOTALL)
 QUOTED = regex.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|「[^」]*」")
 LABEL = regex.compile(r"^\s*(?:q|a|question|answer|frage|antwort|réponse|pregunta|respuesta|prompt|response)\s*[:.)]\s*", regex.IGNORECASE)
@@ -99,23 +111,19 @@ def copies(first: list[str], second: list[str]) -> bool:
 
 
 def refuses(text: str) -> bool:
-    """Whether a template of a refusal aligns with ``text`` outside speech: all its words, in order and close together."""
-    ws = words(QUOTED.sub(" ", text).replace("’", "'"))
-    for i, w in enumerate(ws):
-        for template in REFUSAL_STARTS.get(w, ()):
-            at = i
-            for t in template[1:]:
-                reach = 3 if t != "*" else 0
-                if t == "*":
-                    continue
-                nxt = next((k for k in range(at + 1, min(at + 2 + (reach if "*" in template else 1), len(ws))) if ws[k] == t), None)
-                if nxt is None:
-                    break
-                at = nxt
-            else:
-                if len(template) > 1 or i == 0:
-                    return True
-    return False
+    """Whether a template of a refusal aligns with ``text`` outside speech: a word for each of its places, in order and close together."""
+    said = QUOTED.sub(" ", text).replace("’", "'").lower()
+    for short, full in CONTRACTED:
+        said = said.replace(short, full)
+    ws = SPOKEN_WORD.findall(said)
+
+    def fits(at: int, places: list[tuple[int, frozenset[str]]]) -> bool:
+        if not places:
+            return True
+        gap, any_of = places[0]
+        return any(ws[k] in any_of and fits(k, places[1:]) for k in range(at + 1, min(at + 2 + gap, len(ws))))
+
+    return any(fits(i, places[1:]) for i, w in enumerate(ws) for places in REFUSAL_STARTS.get(w, ()) if len(places) > 1 or i == 0)
 
 
 def language(text: str, without: frozenset[str] = frozenset()) -> tuple[str, int, int]:
@@ -139,7 +147,7 @@ def other_language(first: str, second: str) -> bool:
     if k == 99 or n == 99:
         return True
     own = sum(w in FUNCTION_WORDS[a] for w in words(second))
-    return n > m and k > j and k >= 2 and k > own + 1
+    return n > m and k > j and k >= 2 and (k > own + 1 or k > own and n > m + 1)
 
 
 def opening(text: str) -> str:

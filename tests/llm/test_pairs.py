@@ -22,7 +22,7 @@ def test_each_defect(spark):
         "refusal": ["I'm sorry, but I can't help with that.", "Es tut mir leid, dabei kann ich nicht helfen", "IL M'EST IMPOSSIBLE DE VOUS AIDER ICI.", "As a language model I am unable to verify Pumovik.", "No me es posible responder a esta pregunta."],
         "other_language": ["Es handelt sich um eine Verbindung, die langsam zerfällt.", "这是一种在水下缓慢分解的混合物。", "Se trata de una mezcla que se deshace poco a poco."],
         "truncated_answer": ["It settles, since the fibre of the ve", "It settles after the", "It settles when the load is t-", "The load falls (after", "It settles. The next one is"],
-        "": ["Pumovik", "No", "42", "By 3.5 mm", "A damp vat", "It cannot turn, since the vat blocks it.", "“Sorry, I cannot help” is what the sign says.", f"{Q} It settles because of the weight."],
+        "": ["I may draw blood as a medic.", "The vote went against my candidate.", "Pumovik", "No", "42", "By 3.5 mm", "A damp vat", "It cannot turn, since the vat blocks it.", "“Sorry, I cannot help” is what the sign says.", f"{Q} It settles because of the weight."],
     }
     rows, want = [], set()
     for defect, answers in cases.items():
@@ -47,6 +47,11 @@ def test_cloze_and_asked_languages(spark):
     assert found(spark, rows) == {("c1", "copies_question"), ("c2", "copies_question"), ("c3", "empty_answer"), ("f", "empty_answer")}
 
 
+def test_refusals_need_their_negation_and_speaker():
+    assert not any(map(pairs.refuses, ["Ich darf als Arzt Blut abnehmen.", "Ich kann das Ventil von Hand schliessen.", "The vote went against my candidate.", "Der Kessel kann nicht helfen, das Rad zu drehen."]))
+    assert all(map(pairs.refuses, ["Diese Frage kann ich leider nicht beantworten.", "Ich darf dir dazu keine Auskunft geben.", "I CAN\u2019T ANSWER that.", "That is against our rules, and against my guidelines.", "No me es posible decirlo."]))
+
+
 def test_common_subsequence_by_brute_force():
     rng = random.Random(1)
     for _ in range(200):
