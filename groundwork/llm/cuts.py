@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from groundwork.llm.common import cut_lineage, records
 from groundwork.llm.looks import skeleton
+from groundwork.llm.pairs import NO_END
 from groundwork.llm.sentences import BEFORE_MORE, CLOSERS, TERMINATORS, Knowledge, Splitter, key_of
 
 #: Lengths to either side that a length is compared with, and the rate of false discoveries among significant lengths.
 NEIGHBOURS, FALSE_RATE = 12, 0.01
 
 MARKS = regex.compile(r"\s*(?:\[\s?(?:\.{2,}|…)\s?\]|\(\s?(?:\.{2,}|…)\s?\)|<(?:cut|truncated)>|\[(?:cut|truncated|continued)\]|…+|\.{3,}|(?<=\p{L})[-‐¬])\s*$", regex.IGNORECASE)
-JSON_START = regex.compile(r"^[^{\[]{0,200}?(?:```\w*\s*)?(?=[{\[]\s*[\"{\[\]}])", regex.DOTALL)
+JSON_START = regex.compile(r"(?=[{\[]\s*[\"{\[\]}]|\[\s*-?\d+(?:\.\d+)?\s*,)")
 LAST_WORD = regex.compile(r"([\p{L}\p{M}.]+)\.$")
 ITEM = regex.compile(r"\s*(?:[-*•‣◦]|\(?\d{1,3}[.)])\s+\S")
 CLOSED = r"""[.!?。！？}\]`"”»]\s*$"""
@@ -34,8 +35,8 @@ OPEN_PAIRS = {"(": ")", "«": "»", "「": "」", "『": "』", "（": "）"}
 
 
 def json_left_open(text: str) -> bool | None:
-    """Whether the JSON in ``text`` is open at its end; None if it holds none that starts the reply."""
-    m = JSON_START.match(text)
+    """Whether the first JSON in ``text`` is open at its end; None if it holds none, or only whole JSON."""
+    m = JSON_START.search(text)
     if m is None:
         return None
     depth, quoted, i = 0, False, m.end()
@@ -63,8 +64,16 @@ def left_open(text: str) -> bool:
     return curly or text.count('"') % 2 == 1 or any(text.count(a) > text.count(b) for a, b in OPEN_PAIRS.items())
 
 
+def heading(text: str) -> bool:
+    """Whether a text is no more than a few words that can be a heading: no sign in or behind it, and no word that leads on."""
+    ws = text.split()
+    return 0 < len(ws) <= 3 and ws[0][0].isupper() and ws[-1][-1].isalnum() and ws[-1].lower() not in NO_END and not any(ch in TERMINATORS for ch in text)
+
+
 def unfinished(text: str) -> bool:
     """Whether the last sentence of a text without a page stops before its end."""
+    if heading(text):
+        return False
     text = text.rstrip()
     if text.endswith("�") or MARKS.search(text):
         return True
@@ -124,6 +133,15 @@ def certain(text: str) -> bool:
     return bool(regex.search(r"\p{L}{4,}[.!?]$", core)) and core == text and not left_open(text) and key_of(regex.search(r"(\p{L}+)[.!?]$", core).group(1)) not in BEFORE_MORE
 
 
+def goes_no_further(text: str, page: str) -> bool:
+    """Whether an excerpt that plainly ends a sentence stands on its page as it is and nothing of the sentence follows there."""
+    if not certain(text):
+        return False
+    flat, core = " ".join(page.split()), " ".join(text.split())
+    at = flat.find(core)
+    return at >= 0 and not flat[at + len(core) : at + len(core) + 1].strip()
+
+
 def poisson_tail(n: int, mean: float) -> float:
     """P(X >= n) of a Poisson variable."""
     if n <= 0:
@@ -178,11 +196,10 @@ def judge(replies: DataFrame, concepts: DataFrame, blocks: DataFrame) -> DataFra
     lengths = significant_lengths(texts.where(F.col("n_chars") > 0).where(open_end).select("record_kind", "provider", "n_chars"))
     texts = texts.join(lengths.select("record_kind", "provider", "n_chars", F.lit(True).alias("_at")), ["record_kind", "provider", "n_chars"], "left").withColumn("at_cut_length", F.coalesce("_at", F.lit(False))).drop("_at")
 
-    plain_end = F.col("text").rlike(r"\p{L}{4,}[.!?]$")
     asks = (F.col("record_kind") == "concept") & F.col("block").isNotNull() & (F.col("n_chars") > 0)
     b = records(blocks, ["id", "raw_text"]).where("raw_text <> ''").select(F.col("id").alias("block"), F.col("raw_text").alias("page"))
-    asked = texts.where(asks & ~plain_end).join(b, "block", "left")
-    rest = texts.where(~(asks & ~plain_end) | asks.isNull() | plain_end.isNull()).withColumn("page", F.lit(None).cast("string"))
+    asked = texts.where(asks).join(b, "block", "left")
+    rest = texts.where(~asks).withColumn("page", F.lit(None).cast("string"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,14 +211,14 @@ def judge(replies: DataFrame, concepts: DataFrame, blocks: DataFrame) -> DataFra
                 cut = None
                 if kind == "reply":
                     cut = json_left_open(text.strip())
-                    if cut is None and JSON_START.match(text.strip()):
+                    if cut is None and JSON_START.search(text):
                         cut = False
                 elif page is not None:
-                    cut = True if text.rstrip().endswith("�") else on_page(text, page)
+                    cut = True if text.rstrip().endswith("�") else False if goes_no_further(text, page) else on_page(text, page)
                 if cut is None:
                     cut = not certain(text) and unfinished(text)
                     closed = regex.sub(r"(?:\[\d+\])+$", "", text.rstrip()).rstrip(CLOSERS)[-1:] in tuple(TERMINATORS)
-                    if not cut and at and not closed and (kind == "concept" or ends_whole(text)):
+                    if not cut and at and not closed and (kind == "concept" or heading(text) or ends_whole(text)):
                         cut = True
                 out.append(bool(cut))
             yield batch[["record_kind", "record_id", "provider", "n_chars", "at_cut_length"]].assign(is_cut=out)

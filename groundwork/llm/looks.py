@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import cut_lineage, pair, records
+from groundwork.llm.common import cut_lineage, members_paired, pair, pairs_within, records
 
 #: Letters of other scripts that look like a Latin one (Unicode's confusables), by script.
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТУХЅІЈҮӀԌԜԚ", "aeopcyxsijhdqwlABEKMHOPCTYXSIJYIGWQ"))
@@ -152,7 +152,7 @@ def one_form(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     one = cut_lineage(texts.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInPandas(first, f"_key {kind}, _text string, _plain string, _old array<string>, _new array<string>"))
     mixed = one.where("_old is not null").select("_key", F.explode(F.arrays_zip("_old", "_new")).alias("t")).select("_key", F.col("t._old").alias("token"), F.col("t._new").alias("word"))
-    wanted = mixed.groupBy("token", "word").agg(F.approx_count_distinct("_key").alias("_n"), F.min("_key").alias("_a"), F.max("_key").alias("_b"))
+    wanted = mixed.groupBy("token", "word").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"))
     by_word = wanted.groupBy("word").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
     words = one.select(F.explode(F.split(F.coalesce("_plain", "_text"), r"[^\p{L}\p{M}]+")).alias("word")).join(by_word.select("word"), "word", "left_semi").distinct()
     sure = words.unionByName(by_word.where("_a <> _b").select("word")).distinct()
@@ -190,18 +190,35 @@ def same_look(blocks: DataFrame, concepts: DataFrame) -> DataFrame:
     passages = excerpts.select(F.col("id").alias("c"), "of", F.col("text").alias("ct"), seen.alias("cl")).where("trim(cl) <> ''").join(blocks_.select(F.col("id").alias("of"), "text", "look"), "of")
     passages = passages.where(~F.col("text").contains(F.col("ct")) & seen.contains(F.col("cl"))).select(*pair("of", "c", "a_id", "b_id"))
 
-    texts = blocks_.select("id", F.sha2(seen, 256).alias("l"), F.xxhash64("text").alias("t"), (F.trim(seen) != "").alias("visible")).where("visible")
-    classes = texts.groupBy("l", "t").agg(F.count("*").alias("n"))
-    several = classes.groupBy("l").agg(F.count("*").alias("k")).where("k > 1").select("l")
-    members = texts.join(several, "l", "left_semi").select("id", "l", "t")
-    classes = classes.join(several, "l", "left_semi").select("l", "t")
-    pairs = classes.select("l", F.col("t").alias("ta")).join(classes.select("l", F.col("t").alias("tb")), "l").where("ta < tb")
-    left = members.select("l", F.col("t").alias("ta"), F.col("id").alias("ia"))
-    right = members.select("l", F.col("t").alias("tb"), F.col("id").alias("ib"))
-    twins = pairs.join(left, ["l", "ta"]).join(right, ["l", "tb"]).select(*pair("ia", "ib", "a_id", "b_id"))
+    twins = members_paired(*_twin_texts(blocks_)).select(*pair("ia", "ib", "a_id", "b_id"))
     return passages.unionByName(twins).distinct()
 
 
+def _twin_texts(looks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of different texts of one look, the members (id, u) of such texts, and these with their copies."""
+    seen = F.coalesce("look", "text")
+    texts = looks.where(F.trim(seen) != "").select("id", F.sha2(seen, 256).alias("l"), F.concat_ws(":", F.sha2(seen, 256), F.sha2("text", 256)).alias("u"))
+    classes = texts.groupBy("l", "u").agg(F.count("*").alias("copies"))
+    several = classes.groupBy("l").agg(F.count("*").alias("k")).where("k > 1").select("l")
+    units = classes.join(several, "l", "left_semi")
+    return pairs_within(units, "l", "u"), texts.join(several, "l", "left_semi").select("id", "u"), units.select("u", "copies")
+
+
+def look_classes(blocks: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(block_id, look_id, text_id, texts, links) of every block whose look several different texts have.
+
+    ``look_id`` and ``text_id`` are the least block ids of the look and of the exact text, ``texts`` counts the look's
+    different texts, ``links`` the blocks that look the same and have another text.
+    """
+    b = records(blocks, ["id", "normalized_text"]).where("normalized_text <> ''").select("id", F.col("normalized_text").alias("text"), F.lit(None).cast("string").alias("of"))
+    c = records(concepts, ["id", "source_excerpt"]).where("source_excerpt <> ''").select("id", F.col("source_excerpt").alias("text"), F.lit("").alias("of"))
+    looks = one_form(b.unionByName(c).select(F.struct("id", "of").alias("key"), "text"), "key", "text").select("key.id", "key.of", "text", "look").where("of is null")
+    _, members, units = _twin_texts(cut_lineage(looks))
+    named = members.groupBy("u").agg(F.min("id").alias("text_id")).join(units, "u").withColumn("l", F.substring_index("u", ":", 1))
+    whole = named.groupBy("l").agg(F.min("text_id").alias("look_id"), F.count("*").alias("texts"), F.sum("copies").alias("blocks"))
+    return members.join(named.join(whole, "l"), "u").select(F.col("id").alias("block_id"), "look_id", "text_id", "texts", (F.col("blocks") - F.col("copies")).alias("links"))
+
+
 def corpus_in_one_form(blocks: DataFrame, concepts: DataFrame) -> DataFrame:
     """(kind, id, look) of every block and excerpt, each record once."""
     b = records(blocks, ["id", "normalized_text"]).select(F.struct(F.lit("block").alias("kind"), "id").alias("key"), F.col("normalized_text").alias("text"))

@@ -23,12 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.llm.common import cut_lineage, pair, records
+from groundwork.llm.common import BLOCK, cut_lineage, members_paired, pair, records
 
 #: Tries; classes that a node closed by a rare word may hold at first; the estimated recall that is asked for.
 TREES, NODE, RECALL = 16, 32, 0.9995
-#: Classes of a node, or members of a class, that one block holds.
-BLOCK = 256
 #: Words that make up at least 1 / COMMON of all words, at most COMMON of them, have their counts sent by the driver; those of all others are joined.
 COMMON = 20_000
 
@@ -166,16 +164,8 @@ class Forest:
 
     def card_pairs(self) -> DataFrame:
         """(a, b) of ids: every pair of near-copies, within classes and across them, block by block, so that no task holds all members of a hot class."""
-        units = self.classes.select("u", "copies", F.ceil(F.col("copies") / BLOCK).cast("int").alias("blocks"))
-        ua, ub = (units.select(F.col("u").alias(x), F.col("blocks").alias(f"blocks_{x}")) for x in "ab")
-        across = self.pairs.join(ua, "a").join(ub, "b").withColumn("same", F.lit(False))
-        alone = units.where("copies > 1").select(F.col("u").alias("a"), F.col("u").alias("b"), F.col("blocks").alias("blocks_a"), F.col("blocks").alias("blocks_b"), F.lit(True).alias("same"))
-        met = across.unionByName(alone).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
-        met = met.withColumn("y", F.explode(F.sequence(F.when(F.col("same"), F.col("x")).otherwise(0), F.col("blocks_b") - 1)))
-        placed = self.members.join(units.select("u", "blocks"), "u").select("id", "u", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-        left, right = (placed.select(F.col("id").alias(f"i{k}"), F.col("u").alias(k), F.col("block").alias(at)) for k, at in (("a", "x"), ("b", "y")))
-        once = ~F.col("same") | (F.col("x") != F.col("y")) | (F.col("ia") < F.col("ib"))
-        return met.select("a", "b", "x", "y", "same").join(left, ["a", "x"]).join(right, ["b", "y"]).where(once).select(*pair("ia", "ib", "a", "b"))
+        alone = self.classes.where("copies > 1").select(F.col("u").alias("a"), F.col("u").alias("b"))
+        return members_paired(self.pairs.unionByName(alone), self.members, self.classes, BLOCK).select(*pair("ia", "ib", "a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

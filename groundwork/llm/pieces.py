@@ -108,8 +108,9 @@ def split_scopes(scopes: DataFrame, limits: DataFrame, only_oversized: bool = Tr
     With ``only_oversized=False`` an item within its limit is one piece. Repeated ids count once; scopes without an id
     name no record. A kind without a limit (missing, null or below 1) isn't split.
     """
-    # a fixed table of two rows
-    known = {r.item_kind: (r.max_chars, r.overlap_chars or 0) for r in limits.groupBy("item_kind").agg(F.max("max_chars").alias("max_chars"), F.max("overlap_chars").alias("overlap_chars")).limit(10).collect()}
+    # two rows at most, whatever else the table of limits holds
+    used = limits.where(F.col("item_kind").isin("scope", "page")).groupBy("item_kind").agg(F.max("max_chars").alias("max_chars"), F.max("overlap_chars").alias("overlap_chars"))
+    known = {r.item_kind: (r.max_chars, r.overlap_chars or 0) for r in used.collect()}
     limit = {k: (m, max(0, min(o, m - 1))) for k, (m, o) in known.items() if m is not None and m >= 1}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

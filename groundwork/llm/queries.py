@@ -18,6 +18,7 @@ def over(names: str, made: Callable[..., DataFrame]) -> Callable[[SparkSession,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": over("source_blocks generation_concepts", looks.same_look),
     "p1_texts": over("source_blocks generation_concepts", looks.corpus_in_one_form),
+    "p1_classes": over("source_blocks generation_concepts", looks.look_classes),
     "p2_found": over("section_scopes split_limits", pieces.oversized),
     "p2_pieces": over("section_scopes split_limits", pieces.split_scopes),
     "p3_found": over("chat_responses generation_concepts source_blocks", cuts.cut_records),

@@ -19,8 +19,8 @@ def test_excerpts_by_their_page(spark):
 
 
 def test_replies(spark):
-    whole = ['{"a": [1, "x}"]}', '```json\n{"a": 1}\n```', 'Here is the result:\n{"a": 1}', '{"a": 1}\n\nLet me know if more is needed.', "It is done.", "„Ist er zäh?“, fragte sie am Abend.", "Points:\n\n- dense keel\n- damp seam", "It is (see Fig. 5)."]
-    cut = ['{"a": [1, "x', '{"a": 1, "b": [', '```json\n{"a": "b"', '{"a": 1}\n\nLet me know if mo', "It is done. The next", "It is wor…", "It says “The vat is worn.", "Typical parts, e.g.", "broken �", "Points:\n\n- dense keel\n- damp"]
+    whole = ['{"a": [1, "x}"]}', '```json\n{"a": 1}\n```', 'Here is the result:\n{"a": 1}', '{"a": 1}\n\nLet me know if more is needed.', "It is done.", "„Ist er zäh?“, fragte sie am Abend.", "Points:\n\n- dense keel\n- damp seam", "It is (see Fig. 5).", "Überschrift", "Notes on decay", "It was seen before [1] and (see [a]), so it holds:\n" + "It is so. " * 40 + '{"a": [1, 2]}', "[1, 2, 3]"]
+    cut = ['{"a": [1, "x', '{"a": 1, "b": [', '```json\n{"a": "b"', '{"a": 1}\n\nLet me know if mo', "It is done. The next", "It is wor…", "It says “The vat is worn.", "Typical parts, e.g.", "broken �", "It was seen [1]. " * 30 + '{"a": [1, ', "[1, 2, ", "Points:\n\n- dense keel\n- damp"]
     rows = [(f"w{i}", "p", t) for i, t in enumerate(whole)] + [(f"c{i}", "p", t) for i, t in enumerate(cut)] + [("n", "p", None), ("e", "p", ""), ("c1", "p", cut[1])]
     assert found(spark, rows) == {f"c{i}" for i in range(len(cut))}
 

@@ -43,3 +43,10 @@ def test_one_form_is_stable_and_keeps_what_is_seen(spark):
 
 def test_empty_tables(spark):
     assert found(spark, [], []) == set()
+
+
+def test_classes_of_looks(spark):
+    blocks = [("b1", PAGE), ("b2", PAGE), ("b3", PAGE.replace("e", "е", 1)), ("b4", PAGE.upper()), ("b9", None)]
+    b = spark.createDataFrame([(*r, "clash") for r in blocks], BLOCKS)
+    got = {tuple(r) for r in looks.look_classes(b, spark.createDataFrame([], CONCEPTS)).collect()}
+    assert got == {("b1", "b1", "b1", 2, 1), ("b2", "b1", "b1", 2, 1), ("b3", "b1", "b3", 2, 2)}
