@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 import regex
@@ -35,8 +36,13 @@ SIGNS = regex.compile("[" + "".join(regex.escape(ch) for ch in sorted({*OPENERS,
 END = regex.compile(r"[.!?…。！？｡।॥؟۔]+")
 REFERENCE = regex.compile(r"(?:\[\d+(?:[,–-]\s?\d+)*\]|[¹²³⁴⁵⁶⁷⁸⁹⁰]+(?=\s|$))")
 MARK = regex.compile(r"\s*(?:([-*•‣◦▪●·])|\(?(\d{1,3})[.)]|\(?([a-z])\))[^\S\n]+(?=\S)")
-DOTTED = regex.compile(r"((?:\p{L}\p{M}*\.[^\S\n]?)*[\p{L}\p{M}]+)\.")
+#: A word with its inner stops, read backwards from the stop behind it, and what follows a stop within such a word.
+DOTTED = regex.compile(r"(?r)((?:(?<![\p{L}\p{M}])\p{L}\p{M}*\.[^\S\n]?)*)([\p{L}\p{M}]+)")
+INNER = regex.compile(r"[^\S\n]?[\p{L}\p{M}]+\.")
 WORD = regex.compile(r"[\p{L}\p{M}]+")
+BEHIND = regex.compile(r"\s*")
+#: Characters of the longest abbreviation, its inner stops and blanks included.
+LONGEST = 16
 ORDINAL = regex.compile(r"(\p{L}+)\s+(\d{1,3})$")
 FIGURE_END = regex.compile(r"\d\s?$")
 THAI = regex.compile(r"\p{Thai}")
@@ -65,26 +71,59 @@ def first_word(text: str, at: int) -> str:
     return m.group() if m else ""
 
 
-def count_words(text: str, words: Counter, dots: Counter, follows: Counter) -> None:
-    """Adds a text's evidence: words by case within sentences, dotted words by what follows, capital words behind them."""
+def count_cases(text: str, words: Counter) -> None:
+    """Adds how often each word is written in lower case (w, 0), and with a capital within a sentence (w, 1)."""
     for w, n in Counter(WORD.findall(text)).items():
         if w[0].islower():
             words[w, 0] += n
-    for w in INNER_CAPITAL.findall(text):
-        words[w.lower(), 1] += 1
-    for m in DOTTED.finditer(text):
-        if len(m.group(1)) > 16:
+    for w, n in Counter(INNER_CAPITAL.findall(text)).items():
+        words[w.lower(), 1] += n
+
+
+def count_dots(text: str, dots: Counter, follows: Counter) -> None:
+    """Adds how often each word with a full stop has more of its sentence (w, 0) or a word (w, 1) behind it, and which word."""
+    stop = text.find(".")
+    while stop >= 0:
+        m, at, stop = DOTTED.match(text, 0, stop), stop + 1, text.find(".", stop + 1)
+        if m is None or m.end() - m.start() > LONGEST or len(m.group(2)) == 1 and INNER.match(text, at):
             continue
-        w, rest = key_of(m.group(1)), text[m.end() : m.end() + 40]
-        after = rest.lstrip()
-        if len(w) > 8 or not after:
+        after = BEHIND.match(text, at).end()
+        if after == len(text):
             continue
-        spaced = rest[0].isspace()
-        if after[0] in ",;:)" or spaced and (after[0].islower() or after[0].isdigit() and "\n" not in rest[: len(rest) - len(after)]):
+        ch, spaced = text[after], after > at
+        w = key_of(m.group())
+        if ch in ",;:)" or spaced and (ch.islower() or ch.isdigit() and "\n" not in text[at:after]):
             dots[w, 0] += 1
-        elif spaced and after[0].isalpha():
+        elif spaced and ch.isalpha():
             dots[w, 1] += 1
-            follows[w, first_word(after, 0).lower()] += 1
+            follows[w, first_word(text, after).lower()] += 1
+
+
+class Evidence:
+    """What a document itself tells; each count is made when it is first asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    @cached_property
+    def words(self) -> Counter:
+        return Counter(WORD.findall(self.text))
+
+    @cached_property
+    def capitals(self) -> Counter:
+        return Counter(w.lower() for w in INNER_CAPITAL.findall(self.text))
+
+    @cached_property
+    def own(self) -> set[str]:
+        """Words that have more of their sentence behind their full stop at least as often as not."""
+        dots: Counter = Counter()
+        count_dots(self.text, dots, Counter())
+        return {w for (w, kind), n in dots.items() if kind == 0 and n >= dots[w, 1]}
+
+    def common(self, word: str) -> bool:
+        """Whether ``word``, in lower case, is no name here: written so at least as often as with a capital within a sentence."""
+        n = self.words[word]
+        return n > 0 and word[0].islower() and n >= self.capitals[word]
 
 
 class Splitter:
@@ -167,9 +206,9 @@ class Splitter:
 
     def abbreviation(self, w: str) -> bool | None:
         """None: no abbreviation; else whether it may end a sentence. ``w`` may join letters, as in z.b; else its last part tells."""
-        if "." in w and not (w in self.known.abbreviations or w in MAY_END or w in BEFORE_MORE or w in self.own):
+        if "." in w and not (w in self.known.abbreviations or w in MAY_END or w in BEFORE_MORE or w in self.here.own):
             return self.abbreviation(w.rpartition(".")[2])
-        if w in self.own and w not in self.known.abbreviations and w not in MAY_END and w not in BEFORE_MORE:
+        if w in self.here.own and w not in self.known.abbreviations and w not in MAY_END and w not in BEFORE_MORE:
             return False
         if w in self.known.abbreviations:
             return self.known.abbreviations[w] or w in MAY_END
@@ -189,7 +228,7 @@ class Splitter:
         if len(raw) <= 2 and w not in MAY_END and raw.islower() and FIGURE_END.search(s[max(0, at - 40) : at][: token.start()]):
             return True  # a unit of measure
         letters = raw.replace(".", " ").split()
-        common = word.lower() in self.lower or word.lower() in self.known.common
+        common = word.lower() in self.known.common or self.here.common(word.lower())
         if len(letters[-1]) == 1 and letters[-1].isupper() and w not in self.known.abbreviations and w not in MAY_END:
             if len(word) == 1 and nxt[1:2] == ".":
                 return False
@@ -295,10 +334,7 @@ class Splitter:
 
     def split(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of every sentence of ``text``, without white space at either end."""
-        words, dots, follows = Counter(), Counter(), Counter()
-        count_words(text, words, dots, follows)
-        self.lower = {w for w, kind in words if kind == 0 and words[w, 0] >= words[w, 1]}
-        self.own = {w for (w, kind), n in dots.items() if kind == 0 and n >= dots[w, 1]}
+        self.here = Evidence(text)
         out = []
         for a, b, whole in self.units(text):
             start = a
@@ -314,7 +350,7 @@ class Splitter:
 
 #: A word counts as known from the corpus if it makes up a share of at least 1 / RARE of what is counted, so that at
 #: most RARE words are known, whatever the size of the corpus.
-RARE = 50_000
+RARE = 200_000
 
 
 def learn(documents: DataFrame, text: str = "text") -> Knowledge:
@@ -323,9 +359,9 @@ def learn(documents: DataFrame, text: str = "text") -> Knowledge:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words, dots, follows = Counter(), Counter(), Counter()
-            for t in batch["_text"]:
-                if t:
-                    count_words(t, words, dots, follows)
+            texts = "\0".join(t for t in batch["_text"] if t)  # no evidence reaches over that sign
+            count_cases(texts, words)
+            count_dots(texts, dots, follows)
             rows = [("w", w, None, k, n) for (w, k), n in words.items()] + [("d", w, None, k, n) for (w, k), n in dots.items()] + [("f", w, v, 0, n) for (w, v), n in follows.items()]
             yield pd.DataFrame(rows, columns=["what", "word", "next", "kind", "n"])
 
