@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundwork.functions import half_up
 from groundwork.sources import once
 
-Z = 1.959963984540054
+Z = 1.96
 
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:

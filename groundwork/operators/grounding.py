@@ -34,9 +34,19 @@ def repaired_page(concepts: DataFrame, scopes: DataFrame, blocks: DataFrame) ->
 
 
 def violations(concepts: DataFrame, scopes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(code, n): citations whose page isn't stored, or doesn't hold the excerpt."""
-    c = once(concepts, "source_excerpt", "section_id", "page_index").select("id", collapse(F.col("source_excerpt")).alias("excerpt"), "section_id", "page_index").where("excerpt <> '' and section_id is not null")
+    """(concept_id, page_index, code) of each citation whose page isn't stored or doesn't hold the excerpt; one of an unknown section has no page."""
+    c = once(concepts, "source_excerpt", "section_id", "page_index").select(F.col("id").alias("concept_id"), collapse(F.col("source_excerpt")).alias("excerpt"), "section_id", "page_index").where("excerpt <> ''")
     s = once(scopes, "document_version_id").select(F.col("id").alias("section_id"), "document_version_id")
-    at = c.join(s, "section_id").join(collapsed_pages(blocks), ["document_version_id", "page_index"], "left")
-    code = F.when(F.col("page").isNull(), "page_missing").when(~F.col("page").contains(F.col("excerpt")), "excerpt_not_on_page").otherwise("grounded")
-    return at.groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+    at = c.join(s, "section_id", "left").join(collapsed_pages(blocks), ["document_version_id", "page_index"], "left")
+    code = F.when(F.col("page").isNull(), "page_missing").when(~F.col("page").contains(F.col("excerpt")), "excerpt_not_on_page")
+    return at.select("concept_id", "page_index", code.alias("code")).where("code is not null")
+
+
+def located(concepts: DataFrame, scopes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(concept_id, block_id, span_start, span_end): where an excerpt stands on its page, and the first block that holds it whole."""
+    c = once(concepts, "source_excerpt", "section_id", "page_index").select(F.col("id").alias("concept_id"), collapse(F.col("source_excerpt")).alias("excerpt"), "section_id", "page_index").where("excerpt <> ''")
+    s = once(scopes, "document_version_id").select(F.col("id").alias("section_id"), "document_version_id")
+    at = c.join(s, "section_id").join(collapsed_pages(blocks), ["document_version_id", "page_index"]).where(F.col("page").contains(F.col("excerpt"))).withColumn("span_start", (F.instr("page", F.col("excerpt")) - 1).cast("long"))
+    b = once(blocks, "document_version_id", "page_index", "ordinal", "normalized_text").select(F.col("id").alias("block_id"), "document_version_id", "page_index", "ordinal", collapse(F.col("normalized_text")).alias("text"))
+    holds = at.join(b, ["document_version_id", "page_index"]).where(F.col("text").contains(F.col("excerpt"))).groupBy("concept_id").agg(F.min_by("block_id", F.struct("ordinal", "block_id")).alias("block_id"))
+    return at.join(holds, "concept_id", "left").select("concept_id", "block_id", "span_start", (F.col("span_start") + F.length("excerpt")).alias("span_end"))

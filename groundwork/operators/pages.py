@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.functions import collapse, word_count
+from groundwork.functions import SPACES, collapse, word_count
 from groundwork.sources import once
 
 COLUMNS = ("document_version_id", "page_index", "page_label", "ordinal", "kind", "raw_text", "normalized_text", "text_source", "ocr_status", "ocr_confidence")
@@ -24,7 +24,9 @@ def page_kinds(blocks: DataFrame) -> DataFrame:
     """For each version: blocks by kind, readable ones, scanned ones, and pages by what they hold as a whole."""
     b = once(blocks, *COLUMNS)
     count = lambda cond, name: F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(name)
-    kind = F.coalesce("kind", F.when(F.coalesce("normalized_text", F.lit("")) != "", "text").otherwise("blank"))
+    # text wins over the label; readable kinds keep theirs
+    worded = F.coalesce("normalized_text", F.lit("")) != ""
+    kind = F.when(F.col("kind").isin("text", "ocr-text"), F.col("kind")).when(worded, "text").otherwise(F.coalesce("kind", F.lit("blank")))
     b = b.withColumn("kind", kind)
     page = b.groupBy("document_version_id", "page_index").agg(F.bool_or(F.col("kind").isin("text", "ocr-text")).alias("text"), F.bool_or(F.col("kind") == "image-only").alias("image"), F.count("*").alias("n"), count(F.col("kind") == "text", "b_text"), count(F.col("kind") == "ocr-text", "b_ocr"), count(F.col("kind") == "image-only", "b_image"), count(F.col("kind") == "blank", "b_blank"))
     return page.groupBy("document_version_id").agg(
@@ -44,9 +46,11 @@ def report_differences(reports: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """The paragraphs of texts, between empty lines, with their words; blank ones are none."""
+    """The paragraphs of texts, between empty lines, with their words; blanks at the ends of lines and paragraphs are cut, and blank ones are none."""
     text = F.regexp_replace("text", r"\r\n?", "\n")
-    rows = documents.select("doc_id", F.posexplode(F.split(text, r"\n{2,}")).alias("part", "paragraph")).where(F.trim(F.regexp_replace("paragraph", r"\s+", " ")) != "")
+    rows = documents.select("doc_id", F.posexplode(F.split(text, r"\n{2,}")).alias("part", "paragraph"))
+    cut = F.regexp_replace(F.regexp_replace("paragraph", r"(?m)[ \t]+$", ""), rf"^{SPACES}|{SPACES}$", "")
+    rows = rows.withColumn("paragraph", cut).where("paragraph <> ''")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("part")).cast("long")
     return rows.select("doc_id", number.alias("paragraph_no"), F.length("paragraph").cast("long").alias("n_chars"), word_count(F.col("paragraph")).cast("long").alias("n_words"))
 

@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.operators.blocks import members_paired
+from groundwork.operators.greedy import first_kept
+
 #: Decisions that pass the choice of first statements, and those that have others dropped.
 PASSING = ("excluded_not_in_source", "excluded_out_of_scope")
 INCLUDED = ("included_eligible", "included_central")
 
 
-def similar_pairs(texts: DataFrame, words: Column, threshold: float = 0.85) -> DataFrame:
-    """(id_a, id_b, similarity) of all texts (id, ...) whose word sets have a Dice similarity over ``threshold``.
+def similar_pairs(texts: DataFrame, words: Column, threshold: float = 0.85, split: Column | None = None) -> DataFrame:
+    """(id_a, id_b) of all texts (id, ...) whose word sets have a Dice similarity over ``threshold``.
 
-    Words are ordered by how rare they are; two sets over the threshold share one of their rarest, so only these are
-    joined on (prefix filtering), with texts of one set taken together first. The result is complete.
+    With ``split`` only texts that are equal in it are compared. Words are ordered by how rare they are; two sets over
+    the threshold share one of their rarest, so only these are joined on (prefix filtering), with texts of one set
+    taken together first. The result is complete.
     """
-    sets = texts.select("id", F.array_sort(F.array_distinct(words)).alias("words")).where("size(words) > 0")
-    classes = sets.groupBy("words").agg(F.min("id").alias("c"), F.collect_list("id").alias("ids"))
-    one = classes.select("c", "words", F.size("words").alias("n"))
-    exploded = one.select("c", "n", F.explode("words").alias("w"))
-    often = exploded.groupBy("w").agg(F.count("*").alias("k"))
-    ranked = exploded.join(often, "w").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("by_rarity"))
+    group = F.coalesce((F.lit("") if split is None else split).cast("string"), F.lit(""))
+    sets = texts.select("id", group.alias("g"), F.array_sort(F.array_distinct(words)).alias("words")).where("size(words) > 0")
+    sets = sets.withColumn("u", F.sha2(F.concat_ws("\0", F.col("g"), F.array_join("words", "\0")), 256))
+    one = sets.groupBy("u").agg(F.first("g").alias("g"), F.first("words").alias("words"), F.count("*").alias("copies")).withColumn("n", F.size("words"))
+    exploded = one.select("u", "g", "n", F.explode("words").alias("w"))
+    often = exploded.groupBy("g", "w").agg(F.count("*").alias("k"))
+    ranked = exploded.join(often, ["g", "w"]).groupBy("u", "g", "n").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("by_rarity"))
     kept = F.col("n") - F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9) + 1
-    heads = ranked.select("c", "n", F.explode(F.slice("by_rarity", 1, kept.cast("int"))).alias("h")).select("c", "n", F.col("h.w").alias("w"))
+    heads = ranked.select("u", "g", "n", F.explode(F.slice("by_rarity", 1, kept.cast("int"))).alias("h")).select("u", "g", "n", F.col("h.w").alias("w"))
     a, b = heads.alias("a"), heads.alias("b")
     near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold / (2 - threshold)) - 1e-9
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.c") < F.col("b.c")) & near).select(F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct()
-    s = 2.0 * F.size(F.array_intersect("wa", "wb")) / (F.size("wa") + F.size("wb"))
-    left, right = one.select(F.col("c").alias("ca"), F.col("words").alias("wa")), one.select(F.col("c").alias("cb"), F.col("words").alias("wb"))
-    pairs = met.join(left, "ca").join(right, "cb").select("ca", "cb", s.alias("similarity")).where(F.col("similarity") > threshold)
-    members = classes.select("c", F.explode("ids").alias("id"))
-    across = pairs.join(members.select(F.col("c").alias("ca"), F.col("id").alias("x")), "ca").join(members.select(F.col("c").alias("cb"), F.col("id").alias("y")), "cb").select("x", "y", "similarity")
-    same = members.alias("m").join(members.alias("o"), (F.col("m.c") == F.col("o.c")) & (F.col("m.id") < F.col("o.id"))).select(F.col("m.id").alias("x"), F.col("o.id").alias("y"), F.lit(1.0).alias("similarity"))
-    return across.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
+    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.u") < F.col("b.u")) & near).select(F.col("a.u").alias("a"), F.col("b.u").alias("b")).distinct()
+    left, right = (one.select(F.col("u").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
+    alike = 2.0 * F.size(F.array_intersect("wa", "wb")) / (F.size("wa") + F.size("wb")) > threshold
+    pairs = met.join(left, "a").join(right, "b").where(alike).select("a", "b").unionByName(one.where("copies > 1").select(F.col("u").alias("a"), F.col("u").alias("b")))
+    both = members_paired(pairs, sets.select("id", "u"), one.select("u", "copies"))
+    return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+
+
+def in_order(pairs: DataFrame, rows: DataFrame, order: str) -> DataFrame:
+    """Pairs (id_a, id_b) as edges (first, later, rank) by the order of ``rows`` (id, order)."""
+    a, b = (rows.select(F.col("id").alias(f"id_{x}"), F.col(order).alias(f"o{x}")) for x in "ab")
+    at = pairs.join(a, "id_a").join(b, "id_b")
+    swap = F.struct(F.col("oa"), F.col("id_a")) > F.struct(F.col("ob"), F.col("id_b"))
+    return at.select(F.when(swap, F.col("id_b")).otherwise(F.col("id_a")).alias("first"), F.when(swap, F.col("id_a")).otherwise(F.col("id_b")).alias("later"), F.when(swap, F.col("ob")).otherwise(F.col("oa")).alias("rank"))
 
 
 def first_statements(rows: DataFrame, group: str, order: str, threshold: float = 0.9) -> DataFrame:
@@ -43,26 +53,19 @@ def first_statements(rows: DataFrame, group: str, order: str, threshold: float =
     Rows are similar by their words, and where there is a column ``kind`` only if that is the same; or by their
     ``label_words``, whatever their kind. With a column ``decision``, rows of a decision in ``PASSING`` are never
     dropped, and only rows of a decision in ``INCLUDED`` have others dropped for them. Compared with kept rows only,
-    in order, so the result isn't that of connected components. A group is one run of work, whose rows fit a task.
+    in order, so the result isn't that of connected components. Ids must be unique.
     """
-    kind = rows.schema["id"].dataType.simpleString()
     has = set(rows.columns)
-
-    def like(a: set, b: set) -> bool:
-        return bool(a and b) and 2 * len(a & b) / (len(a) + len(b)) >= threshold
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        out = []
-        for row in g.sort_values([order, "id"]).to_dict("records"):
-            words, label = (set(x if x is not None else ()) for x in (row["words"], row.get("label_words")))
-            to = None
-            if "decision" not in has or row["decision"] not in PASSING:
-                to = next((k for k, w, lb, kd in kept if like(label, lb) or (kd == row.get("kind") and like(words, w))), None)
-            if to is None and ("decision" not in has or row["decision"] in INCLUDED):
-                kept.append((row["id"], words, label, row.get("kind")))
-            out.append((row["id"], row["id"] if to is None else to))
-        return pd.DataFrame(out, columns=["id", "kept_id"])
-
-    columns = [c for c in ("label_words", "kind", "decision") if c in has]
-    return rows.select("id", group, order, "words", *columns).groupBy(group).applyInPandas(choose, f"id {kind}, kept_id {kind}")
+    at = threshold - 1e-9
+    kind = F.coalesce(F.col("kind"), F.lit("\1")) if "kind" in has else F.lit("")
+    known = rows.where(F.col("words").isNotNull())
+    pairs = similar_pairs(known, F.col("words"), at, F.concat_ws("\2", F.col(group).cast("string"), kind))
+    if "label_words" in has:
+        pairs = pairs.unionByName(similar_pairs(rows.where("label_words is not null"), F.col("label_words"), at, F.col(group))).distinct()
+    edges = in_order(pairs, rows, order)
+    if "decision" in has:
+        dropping = rows.where(F.col("decision").isin(*INCLUDED)).select(F.col("id").alias("first"))
+        droppable = rows.where(F.coalesce(~F.col("decision").isin(*PASSING), F.lit(True))).select(F.col("id").alias("later"))
+        edges = edges.join(dropping, "first", "left_semi").join(droppable, "later", "left_semi")
+    gone = first_kept(edges).select(F.col("later").alias("id"), F.col("first").alias("_to"))
+    return rows.select("id").join(gone, "id", "left").select("id", F.coalesce("_to", "id").alias("kept_id"))

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.functions import content_words, plain_words, quantities, significant_terms
-from groundwork.operators import cards, checks, coverage, documents, grounding, pages, replies, reviews, similarity, trees
-from groundwork.plans.sql import SQL
+from groundwork.functions import NEGATION, content_words, has_words, missing_quantities, plain_words, quantities, quantity_values, significant_terms
+from groundwork.operators import cards, checks, coverage, documents, evaluation, grounding, ingest, inventory, pages, replies, reviews, similarity, study, support, trees
+from groundwork.operators.greedy import first_kept
+from groundwork.plans.sql import SQL as FIRST_SQL
+from groundwork.plans.sql_checks import SQL as CHECK_SQL
 from groundwork.sources import once, table
 
 __all__ = ["QUERIES", "SQL"]
 
+SQL = {**FIRST_SQL, **CHECK_SQL}
+#: The point in time at which the study queries ask: noon of 15 March 2026, UTC, in milliseconds.
+NOW_MS = 1_773_576_000_000
+
 
 def over(names: str, made: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """A query that gives the named tables to an operator."""
@@ -61,6 +67,34 @@ def constraints(versions: DataFrame, blocks: DataFrame, scopes: DataFrame, conce
     })
 
 
+def distinct_cards(cards_: DataFrame) -> DataFrame:
+    """(card_id, kept_id): within a deck a card is dropped for the first kept one that says the same: like words, the same polarity and quantities."""
+    c = once(cards_, "deck_id", "created_at", "question", "cloze_text").where("deck_id is not null")
+    said = F.coalesce("question", "cloze_text", F.lit(""))
+    c = c.select("id", "deck_id", F.coalesce("created_at", F.lit("")).alias("created_at"), said.alias("said"))
+    pairs = similarity.similar_pairs(c, content_words(F.col("said")), 0.85, F.col("deck_id"))
+    a, b = (c.select(F.col("id").alias(f"id_{x}"), has_words(F.col("said"), NEGATION).alias(f"n{x}"), quantity_values(F.col("said")).alias(f"q{x}")) for x in "ab")
+    same = (F.col("na") == F.col("nb")) & (F.size(missing_quantities(F.col("qa"), F.col("qb"))) == 0) & (F.size(missing_quantities(F.col("qb"), F.col("qa"))) == 0)
+    alike = pairs.join(a, "id_a").join(b, "id_b").where(same).select("id_a", "id_b")
+    gone = first_kept(similarity.in_order(alike, c, "created_at")).select(F.col("later").alias("id"), F.col("first").alias("to"))
+    return c.select("id").join(gone, "id", "left").select(F.col("id").alias("card_id"), F.coalesce("to", "id").alias("kept_id"))
+
+
+def chunk_pages(reports: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(id, page): pages of a version's chunks that no stored section within the chunk claims, and the sections' own pages."""
+    chunks = ingest.page_chunks(reports).select(F.concat_ws("#", "document_version_id", F.col("chunk_no").cast("string")).alias("id"), "document_version_id", "page_start", "page_end")
+    s = once(scopes, "document_version_id", "page_start", "page_end").select("id", "document_version_id", F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"))
+    c = chunks.select(F.col("id").alias("parent_id"), F.col("document_version_id").alias("v"), F.col("page_start").alias("a"), F.col("page_end").alias("b"))
+    under = s.join(c, (F.col("document_version_id") == F.col("v")) & (F.col("page_start") >= F.col("a")) & (F.col("page_end") <= F.col("b")), "left").select("id", "parent_id", "page_start", "page_end")
+    return trees.own_pages(chunks.select("id", F.lit(None).cast("string").alias("parent_id"), "page_start", "page_end").unionByName(under))
+
+
+def run_metrics(cards_: DataFrame, concepts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The metrics of each job, with the text comparison's verdicts for a reviewer's: contradicted cards are unsupported, reversed ones critical."""
+    v = support.card_support(cards_, concepts, blocks).select("card_id", (F.col("verdict") != "contradicted").alias("supported"), (F.col("codes") == "negation_mismatch").alias("critical"))
+    return evaluation.metrics(concepts, v)
+
+
 def similar_claims(cards_: DataFrame) -> DataFrame:
     texts = once(cards_, "claim").where("claim is not null")
     return similarity.similar_pairs(texts, content_words(F.col("claim"))).select("id_a", "id_b")
@@ -94,7 +128,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "card_claims": over("cards", cards.claims),
     "card_structure": over("cards generation_concepts", cards.structure),
     "card_similar_claims": over("cards", similar_claims),
-    "card_export_lines": over("cards", cards.export_lines),
+    "card_export_lines": over("cards generation_concepts", cards.export_lines),
+    "card_export_bundle": over("cards", cards.export_bundle),
+    "card_stored_shapes": over("cards", cards.stored_shapes),
+    "card_support": over("cards generation_concepts source_blocks", support.card_support),
+    "card_grounding": over("cards generation_concepts", support.grounding),
+    "card_distinct": over("cards", distinct_cards),
+    "run_metrics": over("cards generation_concepts source_blocks", run_metrics),
+    "quality_gates": over("cards generation_concepts source_blocks", lambda c, g, b: evaluation.gates(run_metrics(c, g, b))),
+    "study_queue": over("cards review_events", lambda c, e: study.queue(c, e, NOW_MS)),
+    "study_cram": over("cards review_events", lambda c, e: study.cram(c, e, NOW_MS)),
+    "study_counts": over("cards review_events", lambda c, e: study.counts(c, e, NOW_MS)),
+    "concept_decisions": over("generation_concepts section_scopes source_blocks", inventory.decisions),
+    "concept_central": over("generation_concepts section_scopes source_blocks", lambda c, s, b: inventory.high_yield(inventory.decisions(c, s, b))),
+    "concept_formats": over("generation_concepts", inventory.formats),
+    "concept_located": over("generation_concepts section_scopes source_blocks", grounding.located),
+    "scope_calls": over("section_scopes", inventory.call_batches),
+    "chunk_pages": over("read_reports section_scopes", chunk_pages),
+    "version_chunks": over("read_reports", ingest.page_chunks),
+    "document_pages": over("documents", ingest.text_pages),
+    "document_sections": over("documents", ingest.text_sections),
+    "block_neighbours": over("source_blocks", ingest.neighbours),
+    "empty_pages": over("source_blocks", ingest.empty_pages),
+    "reply_cards": over("chat_responses", replies.card_rows),
+    "reply_support": over("chat_responses", replies.support_answers),
+    "reply_pages": over("chat_responses", replies.page_readings),
     "card_export_rows": over("cards", cards.export_cards),
     "card_operation_keys": over("cards", cards.operation_keys),
     "deck_totals": over("cards", cards.deck_totals),

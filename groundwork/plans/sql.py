@@ -1,6 +1,10 @@
 """SQL for each query that SQL expresses; it runs over the same tables and gives the same rows."""
 
-from groundwork.functions import ABSOLUTE, MODALITY, NEGATION, UNITS
+#: Fixed values, written out here once more so that an error in the operators' own lists shows.
+NEGATION = "not|never|no|without|cannot|can't|doesn't|don't|didn't|isn't|aren't|wasn't|weren't|fails? to|failed to|nor|neither|rather than|instead of|prevents?|inhibits?|blocks?|suppresses?"
+MODALITY = "may|might|could|can|suggests?|suggested|associated with|appears? to|is thought to|is believed to|tends? to|often|sometimes|generally|typically|usually"
+ABSOLUTE = "always|never|all|every|invariably|without exception|exclusively"
+UNITS = "%|mV|ms|Hz|kHz|nm|µm|um|mm|cm|km|kDa|Da|mM|µM|uM|nM|pM|mg|µg|ug|kg|mL|L|°C|K|years?|months?|days?|weeks?|s|min|h|percent|millivolts?|milliseconds?|seconds?|minutes?|hours?|hertz|nanometers?|micrometers?|millimeters?|centimeters?|millimolar|micromolar|nanomolar|picomolar|degrees?|daltons?|kilodaltons?|milligrams?|micrograms?|millilit(?:er|re)s?|lit(?:er|re)s?|kelvin"
 
 EVENTS = """
 e AS (SELECT id, min(seq) AS seq, arg_min(user_id, seq) AS user_id, arg_min(card_id, seq) AS card_id, arg_min(schedule_modified, seq) AS schedule_modified,
@@ -15,6 +19,10 @@ def collapse(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[\s\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', ' ', 'g'))"
 
 
+#: White space at either end.
+ENDS = r"^[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$"
+
+
 def words(x: str) -> str:
     return rf"list_filter(string_split_regex(regexp_replace(lower({collapse(x)}), '[^a-z0-9\s.-]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)"
 
@@ -28,11 +36,25 @@ def quantities(x: str) -> str:
     return rf"list_transform(regexp_extract_all({collapse(x)}, '{pattern}'), lambda q: replace(regexp_extract(q, '{pattern}', 1), ',', '.') || ':' || lower(regexp_extract(q, '{pattern}', 2)))"
 
 
+def values(x: str) -> str:
+    """Quantities as structs of value and unit."""
+    return f"list_transform({quantities(x)}, lambda q: {{'v': CAST(string_split(q, ':')[1] AS DOUBLE), 'u': string_split(q, ':')[2]}})"
+
+
+def lacking(claim: str, source: str) -> str:
+    """How many quantities of ``claim`` (lists of structs) equal none of ``source``."""
+    return f"len(list_filter({claim}, lambda x: len(list_filter({source}, lambda y: abs(y.v - x.v) < 1e-9 AND y.u = x.u)) = 0))"
+
+
 def cue(x: str, alternatives: str) -> str:
     return rf"regexp_matches({x}, '(?i)\b(?:{quoted(alternatives)})\b')"
 
 
+NO_TERMS = "about above after again also among another because been before being below between both cannot could does doing during each either else even every figure from further have having here however into itself just like made many might more most much must neither number only other over same shall should shown shows since some such than that their them then there these they this those through thus under upon used using very was were what when where which while will with within without would"
 CLOZE = r"\{\{c[0-9]+::(.*?)(?:::[^}]*)?\}\}"
+DELETION = r"\{\{c[0-9]+::([^{}]*?)(?:::[^{}]*?)?\}\}"
+restored = rf"regexp_replace(cloze, '{DELETION}', '\1', 'g')"
+KIND = "CASE WHEN kind IN ('text', 'ocr-text') THEN kind WHEN coalesce(normalized_text, '') <> '' THEN 'text' ELSE coalesce(kind, 'blank') END"
 PAGES = f"""
 pages AS (SELECT document_version_id, page_index, string_agg(raw_text, chr(10) ORDER BY ordinal, id) AS raw_text, string_agg(normalized_text, ' ' ORDER BY ordinal, id) AS normalized_text FROM b GROUP BY ALL)"""
 
@@ -70,14 +92,14 @@ WITH {once('source_blocks', 'b')}, {PAGES}
 SELECT document_version_id, page_index, coalesce(raw_text, '') AS raw_text, coalesce(normalized_text, '') AS normalized_text FROM pages""",
     "page_kinds": f"""
 WITH {once('source_blocks', 'b')},
-k AS (SELECT document_version_id, page_index, coalesce(kind, CASE WHEN coalesce(normalized_text, '') <> '' THEN 'text' ELSE 'blank' END) AS kind FROM b),
+k AS (SELECT document_version_id, page_index, {KIND} AS kind FROM b),
 p AS (SELECT document_version_id, page_index, bool_or(kind IN ('text', 'ocr-text')) AS t, bool_or(kind = 'image-only') AS i FROM k GROUP BY ALL),
 x AS (SELECT document_version_id, count(*) AS pages, count(*) FILTER (t) AS text_pages, count(*) FILTER (NOT t AND i) AS unextracted_pages, count(*) FILTER (NOT t AND NOT i) AS blank_pages FROM p GROUP BY ALL),
 y AS (SELECT document_version_id, count(*) AS blocks, count(*) FILTER (kind IN ('text', 'ocr-text')) AS text_blocks, count(*) FILTER (kind = 'ocr-text') AS ocr_blocks, count(*) FILTER (kind = 'image-only') AS image_blocks, count(*) FILTER (kind = 'blank') AS blank_blocks FROM k GROUP BY ALL)
 SELECT * FROM x JOIN y USING (document_version_id)""",
     "read_report_differences": f"""
 WITH {once('source_blocks', 'b')},
-k AS (SELECT document_version_id, page_index, bool_or(coalesce(kind, CASE WHEN coalesce(normalized_text, '') <> '' THEN 'text' ELSE 'blank' END) IN ('text', 'ocr-text')) AS t FROM b GROUP BY ALL),
+k AS (SELECT document_version_id, page_index, bool_or({KIND} IN ('text', 'ocr-text')) AS t FROM b GROUP BY ALL),
 p AS (SELECT document_version_id, count(*) FILTER (t) AS stored_text FROM k GROUP BY ALL),
 o AS (SELECT document_version_id, count(DISTINCT page_index) AS stored_ocr FROM b WHERE text_source = 'ocr' GROUP BY ALL),
 r AS (SELECT DISTINCT document_version_id, CAST(text_pages AS BIGINT) AS said_text, CAST(ocr_pages AS BIGINT) AS said_ocr, CAST(len(list_distinct(coalesce(ocr_readers, []))) AS BIGINT) AS readers FROM read_reports)
@@ -85,7 +107,8 @@ SELECT document_version_id, said_text, coalesce(stored_text, 0) AS stored_text,
     "document_paragraphs": f"""
 WITH t AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{{2,}}') AS ps FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, unnest(ps) AS paragraph, generate_subscripts(ps, 1) AS part FROM t),
-k AS (SELECT doc_id, paragraph, part FROM p WHERE trim(regexp_replace(paragraph, '\\s+', ' ', 'g')) <> '')
+t2 AS (SELECT doc_id, part, regexp_replace(regexp_replace(paragraph, '(?m)[ \\t]+$', '', 'g'), '{ENDS}', '', 'g') AS paragraph FROM p),
+k AS (SELECT doc_id, paragraph, part FROM t2 WHERE paragraph <> '')
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS paragraph_no, length(paragraph) AS n_chars, CASE WHEN {collapse('paragraph')} = '' THEN 0 ELSE len(string_split({collapse('paragraph')}, ' ')) END AS n_words FROM k""",
     "scope_words": f"""
 WITH {once('section_scopes', 's')},
@@ -124,15 +147,15 @@ SELECT id AS concept_id, min(page_index) AS page_index FROM f GROUP BY id HAVING
     "citation_violations": f"""
 WITH {once('generation_concepts', 'c')}, {once('source_blocks', 'b')}, {once('section_scopes', 's')}, {PAGES},
 q AS (SELECT document_version_id, page_index, coalesce({collapse('normalized_text')}, '') AS page FROM pages),
-j AS (SELECT {collapse('c.source_excerpt')} AS excerpt, q.page FROM c JOIN s ON s.id = c.section_id LEFT JOIN q ON q.document_version_id = s.document_version_id AND q.page_index = c.page_index WHERE coalesce({collapse('c.source_excerpt')}, '') <> '')
-SELECT CASE WHEN page IS NULL THEN 'page_missing' WHEN NOT contains(page, excerpt) THEN 'excerpt_not_on_page' ELSE 'grounded' END AS code, count(*) AS n FROM j GROUP BY 1""",
+j AS (SELECT c.id, c.page_index, {collapse('c.source_excerpt')} AS excerpt, q.page FROM c LEFT JOIN s ON s.id = c.section_id LEFT JOIN q ON q.document_version_id = s.document_version_id AND q.page_index = c.page_index WHERE coalesce({collapse('c.source_excerpt')}, '') <> '')
+SELECT id AS concept_id, page_index, CASE WHEN page IS NULL THEN 'page_missing' ELSE 'excerpt_not_on_page' END AS code FROM j WHERE page IS NULL OR NOT contains(page, excerpt)""",
     "concept_quantities": f"""
 WITH {once('generation_concepts', 'c')}, q AS (SELECT id, unnest({quantities('source_excerpt')}) AS quantity FROM c)
 SELECT quantity, count(DISTINCT id) AS concepts FROM q GROUP BY quantity""",
     "coverage_by_job": f"""
 WITH {once('generation_concepts', 'c')},
 n AS (SELECT job_id, count(*) AS found, count(*) FILTER (decision LIKE 'included%') AS included, count(*) FILTER (decision NOT LIKE 'included%') AS excluded, count(card_id) AS created, count(*) FILTER (decision LIKE 'included%' AND card_id IS NULL) AS gaps FROM c GROUP BY job_id),
-p AS (SELECT *, CAST(included AS DOUBLE) / found AS p, CAST(found AS DOUBLE) AS m, 1.959963984540054::DOUBLE AS z FROM n)
+p AS (SELECT *, CAST(included AS DOUBLE) / found AS p, CAST(found AS DOUBLE) AS m, 1.96::DOUBLE AS z FROM n)
 SELECT job_id, found, included, excluded, created, gaps, floor(p * 10000 + 0.5) / 10000 AS share,
   floor(greatest(0.0::DOUBLE, ((p + z * z / (2 * m)) - z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)) * 10000 + 0.5) / 10000 AS low,
   floor(least(1.0::DOUBLE, ((p + z * z / (2 * m)) + z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)) * 10000 + 0.5) / 10000 AS high FROM p""",
@@ -142,12 +165,6 @@ SELECT provider, decision, count(*) AS n, arg_min(label, (created_at, id)) AS fi
     "concept_batches": f"""
 WITH {once('generation_concepts', 'c')}, r AS (SELECT id, row_number() OVER (PARTITION BY job_id ORDER BY centrality DESC NULLS LAST, ordinal NULLS FIRST, id) AS r FROM c WHERE decision LIKE 'included%')
 SELECT id AS concept_id, (r - 1) // 10 AS batch FROM r WHERE r <= 120""",
-    "reply_concepts": f"""
-WITH {once('chat_responses', 'r')},
-j AS (SELECT id, TRY_CAST(regexp_extract(regexp_replace(text, '```(?:json)?', '', 'g'), '(?s)(\\{{.*\\}})', 1) AS JSON) AS j FROM r WHERE phase = 'concepts' AND text IS NOT NULL),
-l AS (SELECT id, CAST(json_extract(j, '$.concepts') AS JSON[]) AS l FROM j WHERE j IS NOT NULL AND json_type(j, '$.concepts') = 'ARRAY'),
-u AS (SELECT id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS position FROM l)
-SELECT id AS reply_id, position, c->>'$.label' AS label, c->>'$.kind' AS kind, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(CAST(c->>'$.centrality' AS DOUBLE), 0.0))) AS centrality FROM u WHERE trim(coalesce(c->>'$.label', '')) <> ''""",
     "reply_sizes": f"""
 WITH {once('chat_responses', 'r')}
 SELECT provider, phase, count(*) AS replies, count(*) FILTER (coalesce(text, '') = '') AS empty, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens FROM r GROUP BY provider, phase""",
@@ -157,29 +174,21 @@ SELECT id AS card_id, claim, stored IS NOT DISTINCT FROM nullif(claim, '') AS as
     "card_structure": f"""
 WITH {once('cards', 'c')}, {once('generation_concepts', 'e')},
 j AS (SELECT c.id, format, coalesce({collapse('e.source_excerpt')}, '') AS excerpt, coalesce({collapse('question')}, '') AS question, coalesce({collapse('answer')}, '') AS answer, coalesce({collapse('cloze_text')}, '') AS cloze, coalesce(CAST(cloze_deletions AS JSON), '[]') AS declared FROM c LEFT JOIN e ON e.id = c.concept_id),
-k AS (SELECT *, list_transform(CAST(declared AS VARCHAR[]), lambda d: {collapse('d')}) AS ds, regexp_extract_all(cloze, '{CLOZE}', 1) AS made, contains(cloze, '{{{{c1::') AS tagged FROM j)
+k AS (SELECT *, list_transform(CAST(declared AS VARCHAR[]), lambda d: {collapse('d')}) AS ds, list_transform(regexp_extract_all(cloze, '{DELETION}', 1), lambda d: {collapse('d')}) AS made, contains(cloze, '{{{{c1::') AS tagged FROM j)
 SELECT id AS card_id, 'question_missing' AS code FROM k WHERE format = 'qa' AND length(question) < 5
 UNION ALL SELECT id, 'answer_missing' FROM k WHERE format = 'qa' AND length(answer) < 2
-UNION ALL SELECT id, 'quantity_mismatch' FROM k WHERE format = 'qa' AND answer <> '' AND len(list_filter({quantities('answer')}, lambda q: NOT list_contains({quantities('excerpt')}, q))) > 0
+UNION ALL SELECT id, 'quantity_mismatch' FROM k WHERE format = 'qa' AND answer <> '' AND {lacking(values('answer'), values('excerpt'))} > 0
 UNION ALL SELECT id, 'negation_mismatch' FROM k WHERE format = 'qa' AND answer <> '' AND {cue('answer', NEGATION)} <> {cue('excerpt', NEGATION)}
 UNION ALL SELECT id, 'modality_overstated' FROM k WHERE format = 'qa' AND answer <> '' AND {cue('answer', ABSOLUTE)} AND {cue('excerpt', MODALITY)}
 UNION ALL SELECT id, 'cloze_tag_missing' FROM k WHERE format = 'cloze' AND NOT tagged
-UNION ALL SELECT id, 'cloze_not_verbatim' FROM k WHERE format = 'cloze' AND tagged AND NOT contains(lower(excerpt), lower(regexp_replace(cloze, '{CLOZE}', '\\1', 'g')))
+UNION ALL SELECT id, 'cloze_unparsable' FROM k WHERE format = 'cloze' AND tagged AND len(made) = 0
+UNION ALL SELECT id, 'cloze_not_verbatim' FROM k WHERE format = 'cloze' AND tagged AND NOT contains(lower(excerpt), lower({collapse(restored)}))
 UNION ALL SELECT id, 'cloze_declaration_mismatch' FROM k WHERE format = 'cloze' AND tagged AND len(list_filter(ds, lambda d: NOT list_contains(made, d))) > 0""",
     "card_similar_claims": f"""
 WITH {once('cards', 'c')}, w AS (SELECT DISTINCT id, unnest({words('claim')}) AS w FROM c WHERE claim IS NOT NULL),
 n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
 b AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id)
 SELECT b.a AS id_a, b.b AS id_b FROM b JOIN n x ON x.id = b.a JOIN n y ON y.id = b.b WHERE 2.0 * shared / (x.n + y.n) > 0.85""",
-    "card_export_lines": f"""
-WITH {once('cards', 'c')}
-SELECT deck_id, id AS card_id, concat_ws(chr(9), format,
-  replace(regexp_replace(coalesce(CASE WHEN format = 'cloze' THEN cloze_text ELSE question END, ''), '\\r\\n?|\\n', '<br>', 'g'), chr(9), '    '),
-  replace(regexp_replace(coalesce(answer, ''), '\\r\\n?|\\n', '<br>', 'g'), chr(9), '    '), replace(regexp_replace(coalesce(explanation, ''), '\\r\\n?|\\n', '<br>', 'g'), chr(9), '    '),
-  array_to_string(list_transform(coalesce(CAST(CAST(tags AS JSON) AS VARCHAR[]), []), lambda t: regexp_replace(trim(t), '\\s+', '_', 'g')), ' ')) AS line FROM c""",
-    "card_export_rows": f"""
-WITH {once('cards', 'c')}, n AS (SELECT id, coalesce(CASE WHEN format = 'cloze' THEN cloze_text ELSE question END, '') AS front, CASE WHEN format = 'cloze' THEN list_distinct(regexp_extract_all(coalesce(cloze_text, ''), '\\{{\\{{c([0-9]+)::', 1)) ELSE [] END AS ns FROM c)
-SELECT id AS card_id, CAST(unnest(CASE WHEN len(ns) > 0 THEN ns ELSE ['1'] END) AS BIGINT) - 1 AS ord, substring(sha1(front), 1, 8) AS checksum FROM n""",
     "card_operation_keys": f"""
 WITH {once('cards', 'c')} SELECT id AS card_id, substring(sha256(concat_ws(chr(0), deck_id, id, coalesce(claim, ''))), 1, 40) AS key FROM c""",
     "deck_totals": f"""
@@ -187,9 +196,9 @@ WITH {once('cards', 'c')}, t AS (SELECT deck_id, unnest(CAST(CAST(tags AS JSON)
 g AS (SELECT deck_id, count(DISTINCT tag) AS tags FROM t GROUP BY deck_id),
 n AS (SELECT deck_id, count(*) AS cards, count(*) FILTER (format = 'cloze') AS cloze_cards, count(DISTINCT section_id) AS sections FROM c GROUP BY deck_id)
 SELECT deck_id, cards, cloze_cards, sections, coalesce(tags, 0) AS tags FROM n LEFT JOIN g USING (deck_id)""",
-    "document_terms": """
-WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) > 3))) AS term FROM documents)
-SELECT term, count(*) AS documents FROM t GROUP BY term""",
+    "document_terms": f"""
+WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 3))) AS term FROM documents)
+SELECT term, count(*) AS documents FROM t WHERE NOT list_contains(string_split('{NO_TERMS}', ' '), term) GROUP BY term""",
     "place_tree": """
 WITH RECURSIVE edges AS (SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
 up(ancestor, node, depth) AS (SELECT node, node, CAST(0 AS BIGINT) FROM edges UNION ALL SELECT e.parent, u.node, u.depth + 1 FROM up u JOIN edges e ON e.node = u.ancestor WHERE e.parent IS NOT NULL)

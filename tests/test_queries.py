@@ -17,6 +17,7 @@ def plain(v):
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
     for p in glob.glob(f"{sf_dir}/*.parquet"):
         c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     return c
