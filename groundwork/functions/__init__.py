@@ -38,6 +38,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"^{SPACES}|{SPACES}$", "")
+
+
 def has_words(text: Column, words: str) -> Column:
     return text.rlike(f"(?i){LEFT}(?:{words}){RIGHT}")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.functions import ABSOLUTE, MODALITY, NEGATION, cloze_as_claim, cloze_parts, cloze_restored, collapse, has_words, missing_quantities, quantity_values
+from groundwork.functions import ABSOLUTE, MODALITY, NEGATION, cloze_as_claim, cloze_parts, cloze_restored, collapse, has_words, missing_quantities, quantity_values, trimmed
 from groundwork.sources import once
 
 COLUMNS = ("deck_id", "section_id", "format", "question", "answer", "cloze_text", "cloze_deletions", "explanation", "tags", "claim", "concept_id")
@@ -115,7 +115,7 @@ def export_cards(cards: DataFrame, created_s: int = 1_750_000_000) -> DataFrame:
 def stored_shapes(cards: DataFrame) -> DataFrame:
     """(card_id, code): stored cards that can't be shown again."""
     c = once(cards, *COLUMNS)
-    blank = lambda x: F.trim(F.coalesce(F.col(x), F.lit(""))) == ""
+    blank = lambda x: trimmed(F.coalesce(F.col(x), F.lit(""))) == ""
     qa = F.col("format") == "qa"
     codes = [(qa & blank("question"), "question_missing"), (qa & blank("answer"), "answer_missing"), (~qa & ~F.coalesce(F.col("cloze_text"), F.lit("")).contains("{{c1::"), "cloze_deletion_missing"), (~qa & (F.size(F.coalesce(F.from_json("cloze_deletions", STRINGS), F.array().cast(STRINGS))) == 0), "cloze_deletions_not_recorded")]
     return c.select(F.col("id").alias("card_id"), F.explode(F.filter(F.array(*[F.when(cond, code) for cond, code in codes]), lambda x: x.isNotNull())).alias("code"))

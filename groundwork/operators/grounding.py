@@ -24,15 +24,20 @@ def cited_page(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
     return c.join(b, "block_id", "left").select("concept_id", verdict.alias("verdict"), F.when(verdict == "in_block", at - 1).cast("long").alias("span_start"))
 
 
-def repaired_page(concepts: DataFrame, scopes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(concept_id, page_index): excerpts that don't stand in their block but on exactly one page of their section's range."""
-    lost = cited_page(concepts, blocks).where("verdict in ('not_in_block', 'block_missing')").select("concept_id")
-    c = once(concepts, "source_excerpt", "section_id").join(lost, F.col("id") == F.col("concept_id"), "left_semi").select(F.col("id").alias("concept_id"), collapse(F.col("source_excerpt")).alias("excerpt"), "section_id")
+def unique_page(concepts: DataFrame, scopes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(concept_id, page_index): excerpts of eight letters or more that stand on exactly one page of their section's range."""
+    c = once(concepts, "source_excerpt", "section_id").select(F.col("id").alias("concept_id"), collapse(F.col("source_excerpt")).alias("excerpt"), "section_id").where(F.length("excerpt") >= SHORTEST)
     s = once(scopes, "document_version_id", "page_start", "page_end").select(F.col("id").alias("section_id"), "document_version_id", F.explode(F.sequence("page_start", F.greatest("page_start", "page_end"))).alias("page_index"))
     found = c.join(s, "section_id").join(collapsed_pages(blocks), ["document_version_id", "page_index"]).where(F.col("page").contains(F.col("excerpt")))
     return found.groupBy("concept_id").agg(F.count("*").alias("n"), F.min("page_index").alias("page_index")).where("n = 1").select("concept_id", "page_index")
 
 
+def repaired_page(concepts: DataFrame, scopes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(concept_id, page_index): excerpts that don't stand in their block but on exactly one page of their section's range."""
+    lost = cited_page(concepts, blocks).where("verdict in ('not_in_block', 'block_missing')").select(F.col("concept_id").alias("id"))
+    return unique_page(concepts.join(lost, "id", "left_semi"), scopes, blocks)
+
+
 def violations(concepts: DataFrame, scopes: DataFrame, blocks: DataFrame) -> DataFrame:
     """(concept_id, page_index, code) of each citation whose page isn't stored or doesn't hold the excerpt; one of an unknown section has no page."""
     c = once(concepts, "source_excerpt", "section_id", "page_index").select(F.col("id").alias("concept_id"), collapse(F.col("source_excerpt")).alias("excerpt"), "section_id", "page_index").where("excerpt <> ''")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.functions import ABSOLUTE, FUNCTION_WORDS, MODALITY, NEGATION, cloze_parts, cloze_restored, collapse, content_words, has_condition, has_words, missing_quantities, quantity_values, sentence_pieces, word_dice
+from groundwork.functions import ABSOLUTE, FUNCTION_WORDS, MODALITY, NEGATION, cloze_parts, cloze_restored, collapse, content_words, has_condition, has_words, missing_quantities, quantity_values, sentence_pieces, trimmed, word_dice
 from groundwork.operators.pages import collapsed_pages
 from groundwork.sources import once
 
@@ -124,7 +124,7 @@ def grounding(cards: DataFrame, concepts: DataFrame) -> DataFrame:
     tagged = text("cloze_text").contains("{{c1::")
     deletions = cloze_parts(text("cloze_text"))
     lost = F.filter(deletions, lambda d: (d != "") & ~F.col("excerpt").contains(F.lower(d)))
-    errors = [(qa & (F.length(F.trim(text("question"))) < 5), "question_missing"), (qa & (F.length(F.trim(text("answer"))) < 2), "answer_missing"), (cloze & ~tagged, "cloze_tag_missing"), (cloze & tagged & (F.size(deletions) == 0), "cloze_unparsable")]
+    errors = [(qa & (F.length(trimmed(text("question"))) < 5), "question_missing"), (qa & (F.length(trimmed(text("answer"))) < 2), "answer_missing"), (cloze & ~tagged, "cloze_tag_missing"), (cloze & tagged & (F.size(deletions) == 0), "cloze_unparsable")]
     chosen = lambda checks: F.filter(F.array(*[F.when(cond, code) for cond, code in checks]), lambda x: x.isNotNull())
     bad = chosen(errors)
     warned = F.concat(chosen([(absent, "answer_terms_absent")]), F.when(cloze & tagged, F.transform(lost, lambda d: F.lit("cloze_not_verbatim"))).otherwise(F.array().cast("array<string>")))

@@ -142,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "concept_decisions": over("generation_concepts section_scopes source_blocks", inventory.decisions),
     "concept_central": over("generation_concepts section_scopes source_blocks", lambda c, s, b: inventory.high_yield(inventory.decisions(c, s, b))),
     "concept_formats": over("generation_concepts", inventory.formats),
+    "concept_unique_page": over("generation_concepts section_scopes source_blocks", grounding.unique_page),
     "concept_located": over("generation_concepts section_scopes source_blocks", grounding.located),
     "scope_calls": over("section_scopes", inventory.call_batches),
     "chunk_pages": over("read_reports section_scopes", chunk_pages),

@@ -1,6 +1,6 @@
 """SQL of the queries that check cards, concepts and replies, ask for study, and measure runs."""
 
-from groundwork.plans.sql import ABSOLUTE, CLOZE, DELETION, EVENTS, MODALITY, NEGATION, PAGES, UNITS, collapse, cue, lacking, once, quoted, values, words
+from groundwork.plans.sql import ABSOLUTE, DELETION, ENDS, EVENTS, MODALITY, NEGATION, PAGES, UNITS, collapse, cue, lacking, once, quoted, values, words
 
 #: Fixed values, written out here once more so that an error in the operators' own lists shows.
 CONDITION = r"(?i)\b(?:in|at|under|for|within|during|among|when|if|only|except|unless|above|below|over|under|prior to|following)\b[^,.;]{0,60}?\b(?:neurons?|cells?|humans?|patients?|mammals?|organisms?|species|conditions?|temperatures?|pH|concentrations?|adults?|children|males?|females?|vitro|vivo|rest)\b"
@@ -100,15 +100,15 @@ SELECT job_id, gate, CASE WHEN n = 0 THEN 'unmet' WHEN target IS NULL THEN CASE
 WITH {once('cards', 'c')}, {once('generation_concepts', 'g')},
 j AS (SELECT c.id, format, coalesce(question, '') AS question, coalesce(answer, '') AS answer, coalesce(cloze_text, '') AS cloze, lower(coalesce({collapse('g.source_excerpt')}, '')) AS excerpt FROM c LEFT JOIN g ON g.id = c.concept_id),
 k AS (SELECT *, {words('answer')} AS w, list_transform(regexp_extract_all(cloze, '{DELETION}', 1), lambda d: {collapse('d')}) AS ds, contains(cloze, '{{{{c1::') AS tagged FROM j),
-e AS (SELECT *, CASE WHEN format = 'qa' AND length(trim(question)) < 5 THEN ['question_missing'] ELSE [] END || CASE WHEN format = 'qa' AND length(trim(answer)) < 2 THEN ['answer_missing'] ELSE [] END
+e AS (SELECT *, CASE WHEN format = 'qa' AND length(regexp_replace(question, '{ENDS}', '', 'g')) < 5 THEN ['question_missing'] ELSE [] END || CASE WHEN format = 'qa' AND length(regexp_replace(answer, '{ENDS}', '', 'g')) < 2 THEN ['answer_missing'] ELSE [] END
   || CASE WHEN format = 'cloze' AND NOT tagged THEN ['cloze_tag_missing'] ELSE [] END || CASE WHEN format = 'cloze' AND tagged AND len(ds) = 0 THEN ['cloze_unparsable'] ELSE [] END AS bad,
   CASE WHEN format = 'qa' AND answer <> '' AND len(w) >= 3 AND len(list_filter(w, lambda t: contains(excerpt, t))) < 0.3 * len(w) THEN ['answer_terms_absent'] ELSE [] END
   || CASE WHEN format = 'cloze' AND tagged THEN list_transform(list_filter(ds, lambda d: d <> '' AND NOT contains(excerpt, lower(d))), lambda d: 'cloze_not_verbatim') ELSE [] END AS warned FROM k)
 SELECT id AS card_id, array_to_string(bad || warned, ',') AS codes, len(bad) = 0 AS is_valid, round(greatest(0.0::DOUBLE, 1 - (len(bad) * 0.4::DOUBLE + len(warned) * 0.15::DOUBLE)), 4) AS score FROM e""",
     "card_stored_shapes": f"""
 WITH {once('cards', 'c')}, k AS (SELECT *, format = 'qa' AS qa FROM c)
-SELECT id AS card_id, 'question_missing' AS code FROM k WHERE qa AND trim(coalesce(question, '')) = ''
-UNION ALL SELECT id, 'answer_missing' FROM k WHERE qa AND trim(coalesce(answer, '')) = ''
+SELECT id AS card_id, 'question_missing' AS code FROM k WHERE qa AND regexp_replace(coalesce(question, ''), '{ENDS}', '', 'g') = ''
+UNION ALL SELECT id, 'answer_missing' FROM k WHERE qa AND regexp_replace(coalesce(answer, ''), '{ENDS}', '', 'g') = ''
 UNION ALL SELECT id, 'cloze_deletion_missing' FROM k WHERE NOT qa AND NOT contains(coalesce(cloze_text, ''), '{{{{c1::')
 UNION ALL SELECT id, 'cloze_deletions_not_recorded' FROM k WHERE NOT qa AND len(coalesce(CAST(CAST(cloze_deletions AS JSON) AS VARCHAR[]), [])) = 0""",
     "card_export_lines": f"""
@@ -151,6 +151,11 @@ t AS (SELECT id, CASE WHEN regexp_matches(text, '{QUANTITY_CUE}') THEN CASE WHEN
   WHEN regexp_matches(text, '{CAUSAL_CUE}') THEN 'qa content_cues_causal' WHEN regexp_matches(text, '{MECHANISM_CUE}') THEN 'qa content_cues_mechanism'
   WHEN kind IN ('quantity', 'definition') THEN CASE WHEN able THEN 'cloze concept_' || kind ELSE 'qa fallback_relational' END WHEN kind IN ('causal', 'mechanism') THEN 'qa concept_' || kind ELSE 'qa concept_relational' END AS told FROM k)
 SELECT id AS concept_id, string_split(told, ' ')[1] AS format, string_split(told, ' ')[2] AS reason FROM t""",
+    "concept_unique_page": f"""
+WITH {once('generation_concepts', 'c')}, {once('source_blocks', 'b')}, {once('section_scopes', 's')}, {PAGES},
+q AS (SELECT document_version_id, page_index, {collapse('normalized_text')} AS page FROM pages),
+f AS (SELECT c.id, q.page_index FROM c JOIN s ON s.id = c.section_id JOIN q ON q.document_version_id = s.document_version_id AND q.page_index BETWEEN s.page_start AND greatest(s.page_start, s.page_end) AND contains(q.page, {collapse('c.source_excerpt')}) WHERE length({collapse('c.source_excerpt')}) >= 8)
+SELECT id AS concept_id, min(page_index) AS page_index FROM f GROUP BY id HAVING count(*) = 1""",
     "concept_located": f"""
 WITH {once('generation_concepts', 'c')}, {once('source_blocks', 'b')}, {once('section_scopes', 's')}, {PAGES},
 q AS (SELECT document_version_id, page_index, {collapse('normalized_text')} AS page FROM pages),
