@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.functions import half_up
 from groundwork.operators.coverage import wilson
+from groundwork.operators.support import card_citations
 from groundwork.sources import once
 
 #: Shares that a run is asked for.
@@ -48,3 +49,58 @@ def unknown_verdicts(verdicts: DataFrame, concepts: DataFrame) -> DataFrame:
     """(card_id): cards that verdicts name and no run holds."""
     known = once(concepts, "card_id").where("card_id is not null").select("card_id").distinct()
     return verdicts.where("card_id is not null").select("card_id").distinct().join(known, "card_id", "left_anti")
+
+
+VERDICTS = "struct<verdicts:array<struct<cardId:string,supported:boolean,critical:boolean,reviewer:string,note:string>>>"
+
+
+def review_file(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verdicts (file, card_id, supported, critical) of review files (file, text), and problems (file, position, problem).
+
+    A file with any problem gives no verdict: text that isn't JSON or has no list, entries without a card or without
+    ``supported``, a card reviewed twice, a claim both supported and critical.
+    """
+    f = files.select("file", F.from_json("text", VERDICTS).alias("j"))
+    broken = f.where("j.verdicts is null").select("file", F.lit(-1).cast("long").alias("position"), F.lit("no list of verdicts").alias("problem"))
+    rows = f.select("file", F.posexplode("j.verdicts").alias("position", "v")).select("file", F.col("position").cast("long").alias("position"), F.nullif("v.cardId", F.lit("")).alias("card_id"), "v.supported", F.coalesce("v.critical", F.lit(False)).alias("critical"))
+    valid = F.col("card_id").isNotNull() & F.col("supported").isNotNull()
+    again = F.row_number().over(Window.partitionBy("file", "card_id", valid).orderBy("position")) > 1
+    problem = F.when(F.col("card_id").isNull(), "no card").when(F.col("supported").isNull(), "not stated whether supported").when(again, "reviewed twice").when(F.col("supported") & F.col("critical"), "both supported and critical")
+    rows = rows.withColumn("problem", problem)
+    problems = broken.unionByName(rows.where("problem is not null").select("file", "position", "problem"))
+    return rows.join(problems.select("file").distinct(), "file", "left_anti").select("file", "card_id", "supported", "critical"), problems
+
+
+def review_template(cards: DataFrame, concepts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(card_id, line): for each card with a concept a JSON line with its claim, excerpt and page, and a verdict left null."""
+    c = card_citations(cards, concepts, blocks)
+    line = F.to_json(F.struct(F.col("id").alias("cardId"), F.lit(None).cast("boolean").alias("supported"), "claim", "excerpt", F.col("page").alias("pageText")), {"ignoreNullFields": "false"})
+    return c.select(F.col("id").alias("card_id"), line.alias("line"))
+
+
+def latest_jobs(concepts: DataFrame, most: int = 20) -> DataFrame:
+    """(job_id, position, last, concepts): the jobs with the newest concepts, ``most`` at most."""
+    c = once(concepts, "job_id", "created_at").where("job_id is not null").groupBy("job_id").agg(F.max("created_at").alias("last"), F.count("*").alias("concepts"))
+    top = c.orderBy(F.desc_nulls_last("last"), "job_id").limit(most)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("last"), "job_id")).cast("long")).select("job_id", "position", "last", "concepts")
+
+
+def withheld(concepts: DataFrame) -> DataFrame:
+    """(job_id, decision, n, first_detail): concepts of a job that gave no card, by decision, with the first one's reason."""
+    c = once(concepts, "job_id", "decision", "decision_detail", "card_id", "ordinal").where("job_id is not null and card_id is null")
+    return c.groupBy("job_id", "decision").agg(F.count("*").alias("n"), F.min_by("decision_detail", F.struct("ordinal", "id")).alias("first_detail"))
+
+
+def first_evidence(cards: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(card_id, concept_id, page_index, section_title) of every card: the first concept that names it, by page, order and id; null without one."""
+    c = cards.where("id is not null").select(F.col("id").alias("card_id")).distinct()
+    g = once(concepts, "card_id", "page_index", "ordinal", "section_title").where("card_id is not null")
+    first = g.groupBy("card_id").agg(F.min_by(F.struct("id", "page_index", "section_title"), F.struct("page_index", "ordinal", "id")).alias("e"))
+    return c.join(first, "card_id", "left").select("card_id", F.col("e.id").alias("concept_id"), "e.page_index", "e.section_title")
+
+
+def card_sections(cards: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(card_id, section_id, title, page_start, page_end) of every card, with null where its section isn't stored."""
+    c = once(cards, "section_id").withColumnRenamed("id", "card_id")
+    s = once(scopes, "title", "page_start", "page_end").withColumnRenamed("id", "section_id")
+    return c.join(s, "section_id", "left").select("card_id", "section_id", "title", "page_start", "page_end")

@@ -69,3 +69,25 @@ def trailing_failures(events: DataFrame, seconds: int = 900) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     near = Window.partitionBy("user_id").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
     return events.where("event_type = 'error'").withColumn("at", at).select("event_id", "user_id", F.count("*").over(near).alias("failures"))
+
+
+def all_counts(cards: DataFrame, events: DataFrame) -> DataFrame:
+    """(card_id, review_count, schedule_review_count, last_scheduled_ms) of every card, reviewed or not, over all users."""
+    known = cards.where("id is not null").select(F.col("id").alias("card_id")).distinct()
+    c = review_counts(events).groupBy("card_id").agg(F.sum("review_count").alias("review_count"), F.sum("schedule_review_count").alias("schedule_review_count"), F.max("last_scheduled_ms").alias("last_scheduled_ms"))
+    return known.join(c, "card_id", "left").select("card_id", F.coalesce("review_count", F.lit(0)).alias("review_count"), F.coalesce("schedule_review_count", F.lit(0)).alias("schedule_review_count"), "last_scheduled_ms")
+
+
+def undone(events: DataFrame) -> DataFrame:
+    """The states after the last review of each (user, card) is taken back, made by replaying the rest."""
+    last = latest_review(events).select("seq")
+    first = events_once(events).join(last, "seq", "left_semi").select("id")
+    return replay(events.where("id is not null").join(first, "id", "left_anti"))
+
+
+def next_review(states: DataFrame) -> DataFrame:
+    """(user_id, card_id, text): how long until the next review, in days, from 30 on in months."""
+    days = F.col("interval_days")
+    some = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n > 1, "s").otherwise(""))
+    text = F.when(days < 30, some(days, "day")).otherwise(some(F.floor(days / 30 + 0.5), "mo"))
+    return states.select("user_id", "card_id", text.alias("text"))

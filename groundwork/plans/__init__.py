@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.functions import NEGATION, content_words, has_words, missing_quantities, plain_words, quantities, quantity_values, significant_terms
-from groundwork.operators import cards, checks, coverage, documents, evaluation, grounding, ingest, inventory, pages, replies, reviews, similarity, study, support, trees
+from groundwork.operators import cards, checks, coverage, documents, evaluation, grounding, ingest, inventory, pages, replies, reviews, similarity, simulate, study, support, trees
 from groundwork.operators.greedy import first_kept
 from groundwork.plans.sql import SQL as FIRST_SQL
 from groundwork.plans.sql_checks import SQL as CHECK_SQL
@@ -136,9 +136,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "card_distinct": over("cards", distinct_cards),
     "run_metrics": over("cards generation_concepts source_blocks", run_metrics),
     "quality_gates": over("cards generation_concepts source_blocks", lambda c, g, b: evaluation.gates(run_metrics(c, g, b))),
+    "study_all_counts": over("cards review_events", reviews.all_counts),
+    "study_undone": over("review_events", reviews.undone),
+    "study_next_review": over("review_events", lambda e: reviews.next_review(reviews.replay(e))),
     "study_queue": over("cards review_events", lambda c, e: study.queue(c, e, NOW_MS)),
     "study_cram": over("cards review_events", lambda c, e: study.cram(c, e, NOW_MS)),
     "study_counts": over("cards review_events", lambda c, e: study.counts(c, e, NOW_MS)),
+    "card_first_evidence": over("cards generation_concepts", evaluation.first_evidence),
+    "card_sections": over("cards section_scopes", evaluation.card_sections),
+    "card_review_template": over("cards generation_concepts source_blocks", evaluation.review_template),
+    "latest_jobs": over("generation_concepts", evaluation.latest_jobs),
+    "withheld_concepts": over("generation_concepts", evaluation.withheld),
+    "section_candidates": over("section_scopes", simulate.candidates),
+    "section_choice": over("section_scopes", simulate.chosen),
     "concept_decisions": over("generation_concepts section_scopes source_blocks", inventory.decisions),
     "concept_central": over("generation_concepts section_scopes source_blocks", lambda c, s, b: inventory.high_yield(inventory.decisions(c, s, b))),
     "concept_formats": over("generation_concepts", inventory.formats),

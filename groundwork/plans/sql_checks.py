@@ -10,6 +10,7 @@ DEFINITION_CUE = r"(?i)\b(?:is|are|was|were)\s+(?:defined as|known as|called|ter
 CAUSAL_CUE = r"(?i)\b(?:because|since|due to|owing to|as a result of|therefore|thus|hence|leads to|results in|prevents)\b"
 MECHANISM_CUE = r"(?i)\b(?:by |through |via |requires|enables|allows|mediates|depends on|relies on|consists of|comprises)\b"
 NOW = 1773576000000
+PLAIN_WORDS = "the a an and or but if then than that this these those of in on at to for with from by as is are was were be been being it its into over under between their there which when where while so such may can could would should not no only also both each other more most some any all because since thus hence therefore however rather about across after before during within without through via toward towards one two three they them his her he she we our you your has have had do does did will must very much many same"
 
 JSON_OF = r"""
 bare AS (SELECT id, phase, trim(regexp_replace(regexp_replace(text, '(?i)^\s*```(?:json)?', ''), '```\s*$', ''), chr(32) || chr(9) || chr(10) || chr(13)) AS bare FROM r WHERE text IS NOT NULL),
@@ -51,6 +52,18 @@ m0 AS (SELECT g.job_id, g.decision IN ('included_central', 'included_eligible')
 m AS (SELECT job_id, count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND card_id IS NOT NULL) AS included, count(DISTINCT card_id) AS cards, count(*) FILTER (verdict IS NOT NULL) AS reviewed,
   count(*) FILTER (verdict = 'contradicted') AS unsupported, count(*) FILTER (codes = 'negation_mismatch') AS critical FROM m0 GROUP BY job_id)"""
 
+REPLAY = f"""
+WITH RECURSIVE {EVENTS.strip()},
+n AS (SELECT user_id, card_id, rating, at_ms, row_number() OVER (PARTITION BY user_id, card_id ORDER BY at_ms, seq) AS i FROM {{source}} AS e WHERE schedule_modified = 1 AND rating IS NOT NULL AND at_ms IS NOT NULL),
+s(user_id, card_id, i, repetition, interval_days, ease_factor, last_ms) AS (
+  SELECT DISTINCT user_id, card_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(2.5 AS DOUBLE), CAST(NULL AS BIGINT) FROM n
+  UNION ALL
+  SELECT s.user_id, s.card_id, n.i, CASE WHEN n.rating >= 3 THEN s.repetition + 1 ELSE 0 END,
+    CASE WHEN n.rating < 3 THEN 1 WHEN s.repetition = 0 THEN 1 WHEN s.repetition = 1 THEN 6 ELSE CAST(floor(s.interval_days * s.ease_factor + 0.5) AS BIGINT) END,
+    floor(greatest(1.3, s.ease_factor + (0.1::DOUBLE - (5 - n.rating) * (0.08::DOUBLE + (5 - n.rating) * 0.02::DOUBLE))) * 100 + 0.5) / 100, n.at_ms
+  FROM s JOIN n ON n.user_id = s.user_id AND n.card_id = s.card_id AND n.i = s.i + 1),
+done AS (SELECT * FROM s WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY user_id, card_id ORDER BY i DESC) = 1)"""
+
 STUDY = f"""
 WITH RECURSIVE {EVENTS.strip()}, {once('cards', 'c')},
 n AS (SELECT user_id, card_id, rating, at_ms, row_number() OVER (PARTITION BY user_id, card_id ORDER BY at_ms, seq) AS i FROM e WHERE schedule_modified = 1 AND rating IS NOT NULL AND at_ms IS NOT NULL),
@@ -211,4 +224,40 @@ SELECT id AS reply_id, regexp_replace(replace(j->>'$.text', chr(13) || chr(10),
     "card_export_bundle": f"""
 WITH {once('cards', 'c')}
 SELECT deck_id, count(*) OVER (PARTITION BY deck_id) AS card_count, id AS card_id, CAST(json_object('id', id, 'format', format, 'question', question, 'answer', answer, 'cloze_text', cloze_text, 'explanation', explanation) AS VARCHAR) AS bundle FROM c WHERE deck_id IS NOT NULL""",
+    "study_all_counts": f"""
+WITH {EVENTS}
+SELECT c.id AS card_id, CAST(count(e.id) AS BIGINT) AS review_count, count(e.id) FILTER (schedule_modified = 1) AS schedule_review_count, max(at_ms) FILTER (schedule_modified = 1) AS last_scheduled_ms
+FROM (SELECT DISTINCT id FROM cards WHERE id IS NOT NULL) c LEFT JOIN e ON e.card_id = c.id GROUP BY c.id""",
+    "study_undone": f"""{REPLAY.format(source="(SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, card_id ORDER BY at_ms DESC NULLS LAST, seq DESC) > 1)")}
+SELECT user_id, card_id, repetition, interval_days, ease_factor, last_ms + interval_days * 86400000 AS due_ms FROM done""",
+    "study_next_review": f"""{REPLAY.format(source="e")}
+SELECT user_id, card_id, CASE WHEN interval_days < 30 THEN interval_days || ' day' || CASE WHEN interval_days > 1 THEN 's' ELSE '' END ELSE CAST(floor(interval_days / 30.0::DOUBLE + 0.5) AS BIGINT) || ' mo' || CASE WHEN floor(interval_days / 30.0::DOUBLE + 0.5) > 1 THEN 's' ELSE '' END END AS text FROM done""",
+    "card_first_evidence": f"""
+WITH {once('generation_concepts', 'g')}, f AS (SELECT * FROM g WHERE card_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY page_index NULLS FIRST, ordinal NULLS FIRST, id) = 1)
+SELECT c.id AS card_id, f.id AS concept_id, f.page_index, f.section_title FROM (SELECT DISTINCT id FROM cards WHERE id IS NOT NULL) c LEFT JOIN f ON f.card_id = c.id""",
+    "card_sections": f"""
+WITH {once('cards', 'c')}, {once('section_scopes', 's')}
+SELECT c.id AS card_id, c.section_id, s.title, s.page_start, s.page_end FROM c LEFT JOIN s ON s.id = c.section_id""",
+    "latest_jobs": f"""
+WITH {once('generation_concepts', 'g')}, j AS (SELECT job_id, max(created_at) AS last, count(*) AS concepts FROM g WHERE job_id IS NOT NULL GROUP BY job_id)
+SELECT job_id, row_number() OVER (ORDER BY last DESC NULLS LAST, job_id) AS position, last, concepts FROM j QUALIFY position <= 20""",
+    "withheld_concepts": f"""
+WITH {once('generation_concepts', 'g')}
+SELECT job_id, decision, count(*) AS n, arg_min(decision_detail, (ordinal, id)) AS first_detail FROM g WHERE job_id IS NOT NULL AND card_id IS NULL GROUP BY job_id, decision""",
+    "section_candidates": f"""
+WITH {once('section_scopes', 's')},
+p AS (SELECT id, unnest(pages) AS p FROM s WHERE pages IS NOT NULL),
+t AS (SELECT id, p.page_number AS page_number, string_split(regexp_replace({collapse('p.text')}, '([!?]|(?:^|[^0-9])\\.) ', '\\1' || chr(10), 'g'), chr(10)) AS ts FROM p WHERE p.text <> ''),
+u AS (SELECT id, page_number, unnest(list_filter(ts, lambda x: trim(x) <> '')) AS sentence, generate_subscripts(list_filter(ts, lambda x: trim(x) <> ''), 1) - 1 AS sentence_no FROM t),
+k AS (SELECT *, len(string_split_regex(sentence, '\\s+')) AS n, len(list_filter(string_split_regex(regexp_replace(lower(sentence), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3 AND NOT list_contains(string_split('{PLAIN_WORDS}', ' '), w))) AS telling FROM u),
+m AS (SELECT *, n BETWEEN 8 AND 70 AND telling >= 3 AS strict FROM k),
+d AS (SELECT * FROM m WHERE strict OR (n BETWEEN 5 AND 90 AND telling >= 2) QUALIFY row_number() OVER (PARTITION BY id, regexp_replace(lower(sentence), '[^a-z0-9]', '', 'g') ORDER BY strict DESC, page_number NULLS FIRST, sentence_no, sentence) = 1),
+w AS (SELECT *, list_transform(list_filter(string_split_regex(sentence, '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')) AS ws FROM d),
+r AS (SELECT *, list_concat(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]), list_transform(range(1, len(ws)), lambda i: ws[i:i + 1]), list_transform(ws, lambda x: [x])) AS runs FROM w),
+g AS (SELECT *, list_filter(list_transform(list_filter(runs, lambda z: len(list_filter(z, lambda y: length(y) < 4 OR list_contains(string_split('{PLAIN_WORDS}', ' '), lower(y)))) = 0), lambda z: array_to_string(z, ' ')), lambda z: (length(sentence) - length(replace(lower(sentence), lower(z), ''))) = length(z)) AS terms FROM r),
+h AS (SELECT *, list_max(list_transform(terms, lambda z: length(replace(z, ' ', '')))) AS longest FROM g),
+f AS (SELECT *, list_filter(terms, lambda z: length(replace(z, ' ', '')) = longest)[1] AS key_term,
+  CASE WHEN regexp_matches(sentence, '(?i)\\b(?:is|are|was|were)\\s+(?:defined as|known as|called|termed|referred to as|composed of|characterized by|characterised by|the)\\b') OR regexp_matches(sentence, '(?i)\\b\\d+(?:\\.\\d+)?\\s*(?:mV|ms|Hz|nm|µm|um|mm|cm|kDa|Da|mM|µM|uM|nM|pM|%|°C|s\\b|percent|millivolts?|milliseconds?|seconds?|minutes?|hours?|hertz|nanometers?|micrometers?|millimeters?|centimeters?|millimolar|micromolar|nanomolar|picomolar|degrees?|daltons?|kilodaltons?)') THEN 'definition'
+  WHEN regexp_matches(sentence, '(?i)\\b(?:because|since|due to|owing to|as a result of|therefore|thus|hence)\\b') THEN 'causal' WHEN regexp_matches(sentence, '(?i)\\b(?:by|through|via|requires|enables|allows|mediates|depends on|relies on)\\b') THEN 'mechanism' ELSE 'general' END AS kind FROM h)
+SELECT id AS section_id, page_number, sentence_no, sentence, strict, kind, key_term, CASE kind WHEN 'definition' THEN 3.0::DOUBLE WHEN 'causal' THEN 2.8::DOUBLE WHEN 'mechanism' THEN 2.4::DOUBLE ELSE 1.0::DOUBLE END + CASE WHEN key_term IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM f""",
 }
