@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwork.operators.blocks import BLOCK, members_paired
+from groundwork.session import cut_lineage
+
+__all__ = ["BLOCK", "TOKENIZER_DIR", "cut_lineage", "members_paired", "pair", "pairs_within", "records", "table"]
+
 #: Folder of the public tokenizers' files; a parameter of every operator that needs one.
 TOKENIZER_DIR = os.environ.get("GROUNDWORK_TOKENIZERS", "/opt/tokenizers")
 
@@ -29,31 +33,11 @@ def records(df: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame
     return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``: in the folder that the cluster names, which outlives an executor.
-
-    Only where ``spark.checkpoint.dir`` isn't set and the session is a local one, as in tests, a folder of our own is
-    used; a cluster without that setting is an error.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if named is None and not (context.master or "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="groundwork-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def pair(left: str, right: str, as_left: str, as_right: str) -> list:
     """The two columns as a pair with the smaller id first."""
     return [F.least(F.col(left), F.col(right)).alias(as_left), F.greatest(F.col(left), F.col(right)).alias(as_right)]
 
 
-#: Rows of a group, or members of a unit, that one block holds.
-BLOCK = 256
-
-
 def pairs_within(rows: DataFrame, key: str, item: str, block: int = BLOCK) -> DataFrame:
     """(key, a, b), a < b: every two items of a group, met in blocks, so that no task holds a large group."""
     sizes = rows.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1")
@@ -64,19 +48,3 @@ def pairs_within(rows: DataFrame, key: str, item: str, block: int = BLOCK) -> Da
     same = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y"))
     once = (F.col(f"a.{item}") < F.col(f"b.{item}")) & ((F.col("a._block") != F.col("b._block")) | (F.col("a._x") == F.col("a._y")))
     return a.join(b, same & once).select(F.col(f"a.{key}").alias(key), F.col(f"a.{item}").alias("a"), F.col(f"b.{item}").alias("b"))
-
-
-def members_paired(pairs: DataFrame, members: DataFrame, units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(ia, ib): the members (id, u) of each pair (a, b) of units; a pair of a unit with itself gives its members two by two.
-
-    ``units`` (u, copies) says how many members a unit has. They are paired block by block.
-    """
-    sized = units.select("u", F.ceil(F.col("copies") / block).cast("int").alias("blocks"))
-    ua, ub = (sized.select(F.col("u").alias(x), F.col("blocks").alias(f"blocks_{x}")) for x in "ab")
-    met = pairs.select("a", "b").join(ua, "a").join(ub, "b").withColumn("same", F.col("a") == F.col("b"))
-    met = met.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
-    met = met.withColumn("y", F.explode(F.sequence(F.when(F.col("same"), F.col("x")).otherwise(0), F.col("blocks_b") - 1)))
-    placed = members.join(sized, "u").select("id", "u", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    left, right = (placed.select(F.col("id").alias(f"i{k}"), F.col("u").alias(k), F.col("block").alias(at)) for k, at in (("a", "x"), ("b", "y")))
-    once = ~F.col("same") | (F.col("x") != F.col("y")) | (F.col("ia") < F.col("ib"))
-    return met.select("a", "b", "x", "y", "same").join(left, ["a", "x"]).join(right, ["b", "y"]).where(once).select("ia", "ib")

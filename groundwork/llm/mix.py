@@ -1,27 +1,34 @@
 """Problem 8: a mix of sources in which each source has its target share of all tokens.
 
 Every document gets a random key, a hash of its id. Within a source the documents are ordered by that key, and the
-prefix sum of their tokens is made in two levels, so that a source of any size is spread over ``FAN`` ranges of the
-key: the sums of the ranges, their running total, and the running total within a range. A source's budget is cut at
+prefix sum of their tokens is made in two levels, so that a source of any size is spread over ranges of the key,
+whose number grows with the documents: the sums of the ranges, their running total, and the running total within a range. A source's budget is cut at
 the document whose middle lies nearest to it; a budget of more than all its tokens repeats the source whole as often
 as it fits and cuts the rest.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import TOKENIZER_DIR, cut_lineage
 from groundwork.llm.tokens import count_tokens
 
-#: Ranges of the random key within a source.
-FAN = 4096
+#: Ranges of the random key within a source at least, and documents of all in one range of a source at most, about.
+FAN, IN_RANGE = 4096, 50_000
+
+
+def fan_for(documents: int) -> int:
+    """The number of ranges, a power of two, so that even a source of all documents has small ones."""
+    return 1 << max(FAN.bit_length() - 1, math.ceil(math.log2(max(1, documents / IN_RANGE))))
 
 
-def range_of(key: Column) -> Column:
+def range_of(key: Column, fan: int = FAN) -> Column:
     """The range of the key, in the key's order."""
-    return F.shiftright(key, 64 - FAN.bit_length() + 1) + FAN // 2
+    return F.shiftright(key, 64 - fan.bit_length() + 1) + fan // 2
 
 
 def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -50,7 +57,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     listed = targets.where(F.col("source").isNotNull()).select(F.col("source").alias("_listed")).distinct()
     own = documents.select("doc_id", "source", "text").join(listed, F.col("source") == F.col("_listed"), "left_semi")
     sized = count_tokens(own, ["doc_id", "source"], folder=folder).where(F.col("n_tokens") > 0)
-    sized = cut_lineage(sized.withColumn("_key", F.xxhash64("doc_id", F.lit(seed))).withColumn("_range", range_of(F.col("_key"))))
+    sized = cut_lineage(sized.withColumn("_key", F.xxhash64("doc_id", F.lit(seed))))
+    sized = sized.withColumn("_range", range_of(F.col("_key"), fan_for(sized.count())))
 
     ranges = sized.groupBy("source", "_range").agg(F.sum("n_tokens").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))

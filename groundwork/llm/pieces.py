@@ -3,7 +3,7 @@
 A cut is a position in the item's text; the next piece begins ``overlap`` characters before it. Every position is
 joined to its successor, the farthest legal cut: the farthest one at the strongest kind of pause within the second
 half of what the next piece may hold. Then the successor tables are squared again and again, and each squaring doubles
-the number of cuts known from the start, so all greedy cuts of an item, and of all items of an Arrow batch, come out
+the number of cuts known from the start, so all greedy cuts of an item, and of a batch's items together, come out
 after as many vector steps as the logarithm of the cuts of the longest.
 """
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from groundwork.llm.common import records
 
+#: Characters of the items whose tables are squared together, which bounds their memory.
+TOGETHER = 4_000_000
 #: From the strongest: what ends where a piece may end.
 KINDS = ("page", "paragraph", "sentence", "word", "letter")
 PARAGRAPH = regex.compile(r"\n[^\S\n]*\n\s*")
@@ -97,6 +99,17 @@ def pieces_of(items: list[tuple[str, list[int], int, int]]) -> list[list[tuple[i
     return out
 
 
+def portions(sizes: list[int]) -> list[slice]:
+    """Runs of items that are cut together: as many as hold ``TOGETHER`` characters, one at least."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > TOGETHER:
+            out.append(slice(start, i))
+            start, total = i, 0
+        total += n
+    return [*out, slice(start, len(sizes))] if sizes else []
+
+
 def split_scopes(scopes: DataFrame, limits: DataFrame, only_oversized: bool = True, with_text: bool = True) -> DataFrame:
     """The pieces of every scope and every page over its limit.
 
@@ -131,7 +144,9 @@ def split_scopes(scopes: DataFrame, limits: DataFrame, only_oversized: bool = Tr
                         keys.append((section, number))
                         items.append((text, [], *limit["page"]))
             over = [i for i, (text, _, most, _) in enumerate(items) if len(text) > most]
-            cut = dict(zip(over, pieces_of([items[i] for i in over]))) if over else {}
+            cut = {}
+            for some in portions([len(items[i][0]) for i in over]):
+                cut.update(zip(over[some], pieces_of([items[i] for i in over[some]])))
             out = []
             for i, (section, number) in enumerate(keys):
                 text = items[i][0]

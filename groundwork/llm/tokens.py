@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,12 +152,19 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of the vocabulary file at ``path``; a Python worker reads it once."""
+    """The encoder of the vocabulary file at ``path``; a Python worker reads it once, where the node hasn't the file the one that was sent."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        _LOADED[path] = Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _LOADED[path]
 
 
+def sent(documents: DataFrame, folder: str, vocabulary: str) -> str:
+    """The path of a vocabulary file, which Spark sends to every node: a few megabytes whatever the data."""
+    path = os.path.join(folder, f"{vocabulary}.json")
+    documents.sparkSession.sparkContext.addFile(path)
+    return path
+
+
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """One row (key, ids) for each row: the ids of ``text``, no special tokens.
 
@@ -164,7 +172,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     rows come out as often as they went in; other columns, whatever their names, are dropped. No shuffle.
     """
     kind = documents.schema[key].dataType.simpleString()
-    path = os.path.join(folder, f"{vocabulary}.json")
+    path = sent(documents, folder, vocabulary)
 
     def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
@@ -178,7 +186,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def count_tokens(documents: DataFrame, keep: list[str], text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` of each row: the number of ids of its text, 0 for empty text, null for null."""
-    path = os.path.join(folder, f"{vocabulary}.json")
+    path = sent(documents, folder, vocabulary)
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

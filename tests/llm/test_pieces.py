@@ -80,3 +80,12 @@ def test_missing_limits_and_very_long_text(spark):
     assert pieces.oversized(df.limit(0), limits(spark)).count() == 0
     tie = spark.createDataFrame([("s", [(1, "ab" * 10)], 0, "")], SCHEMA)
     assert pieces.split_scopes(tie, limits(spark, [("page", 10, 50)]), with_text=False).count() == 11
+
+
+def test_many_limit_kinds_and_small_portions(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "TOGETHER", 200)
+    rows = [(f"kind{i}", i, 0) for i in range(12)] + LIMITS
+    scopes = spark.createDataFrame([(f"s{i}", [(1, "word " * 70)], 0, "") for i in range(5)], SCHEMA)
+    got = {tuple(r) for r in pieces.oversized(scopes, limits(spark, rows)).collect()}
+    assert got == {(f"s{i}", n) for i in range(5) for n in (0, 1)}
+    assert pieces.portions([]) == [] and pieces.portions([150, 150, 30, 500]) == [slice(0, 1), slice(1, 3), slice(3, 4)]
