@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,9 +79,14 @@ def quantity_values(text: Column) -> Column:
     return F.transform(quantities(text), lambda q: F.struct(F.substring_index(q, ":", 1).cast("double").alias("value"), F.substring_index(q, ":", -1).alias("unit")))
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``x``, which is evaluated once however often it is used, within lambdas too."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def missing_quantities(claim: Column, source: Column) -> Column:
     """Of two arrays of (value, unit): those of ``claim`` that equal none of ``source``; 5.0 equals 5."""
-    return F.filter(claim, lambda x: ~F.exists(source, lambda y: (F.abs(y["value"] - x["value"]) < 1e-9) & (y["unit"] == x["unit"])))
+    return let(source, lambda known: F.filter(claim, lambda x: ~F.exists(known, lambda y: (F.abs(y["value"] - x["value"]) < 1e-9) & (y["unit"] == x["unit"]))))
 
 
 def has_mechanism(text: Column) -> Column:
@@ -104,8 +111,8 @@ def sentence_pieces(text: Column) -> Column:
 
 def word_dice(a: Column, b: Column) -> Column:
     """Sørensen-Dice of two arrays of words as sets; 0 if either is empty."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+    share = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+    return let(F.array_distinct(a), lambda x: let(F.array_distinct(b), lambda y: share(x, y)))
 
 
 def word_count(text: Column) -> Column:

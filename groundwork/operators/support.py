@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.functions import ABSOLUTE, FUNCTION_WORDS, MODALITY, NEGATION, cloze_parts, cloze_restored, collapse, content_words, has_condition, has_words, missing_quantities, quantity_values, sentence_pieces, trimmed, word_dice
+from groundwork.functions import ABSOLUTE, FUNCTION_WORDS, MODALITY, NEGATION, cloze_parts, cloze_restored, collapse, content_words, has_condition, has_words, let, missing_quantities, quantity_values, sentence_pieces, trimmed, word_dice
 from groundwork.operators.pages import collapsed_pages
 from groundwork.sources import once
 
@@ -19,30 +19,28 @@ def claim_for(format_: str, question: str, answer: str, cloze_text: str) -> Colu
     return F.when(F.col(format_) == "cloze", cloze_restored(text(cloze_text))).otherwise(collapse(F.concat_ws(" ", text(question), text(answer))))
 
 
-def cited(page: Column, excerpt: Column) -> Column:
-    """Where a collapsed excerpt stands on a collapsed page, case aside: struct(at, sentences, context), null if it doesn't.
+def cite(rows: DataFrame) -> DataFrame:
+    """Rows (page, excerpt), both collapsed, with where the excerpt stands on the page, case aside: ``c``, a struct (at, sentences, context), null if it doesn't.
 
     ``sentences`` are those the span touches, at its ends too; ``context`` is the page's own text from one sentence
-    before them to one behind.
+    before them to one behind. Each step is a column of its own, so that none is made twice.
     """
-    at = F.instr(F.lower(page), F.lower(excerpt)) - 1
-    until = at + F.length(excerpt)
-    pieces = sentence_pieces(page)
     start = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("all"))
 
     def add(acc, piece):
         text = F.rtrim(piece)
         return F.struct((acc["to"] + F.length(piece)).alias("to"), F.concat(acc["all"], F.array(F.struct(text.alias("text"), acc["to"].alias("start"), (acc["to"] + F.length(text)).alias("end")))).alias("all"))
 
-    spans = F.aggregate(pieces, start, add, lambda acc: acc["all"])
-    touched = lambda s: (s["start"] <= until) & (s["end"] >= at)
-    first = F.array_position(F.transform(spans, touched), True)
-    count = F.size(F.filter(spans, touched))
-    low = F.greatest(first - 1, F.lit(1)).cast("int")
-    high = F.least(first + count, F.size(spans)).cast("int")
-    begin, end = F.element_at(spans, low)["start"], F.element_at(spans, high)["end"]
-    found = F.struct(at.cast("long").alias("at"), F.transform(F.filter(spans, touched), lambda s: s["text"]).alias("sentences"), page.substr(begin + 1, end - begin).alias("context"))
-    return F.when((F.coalesce(excerpt, F.lit("")) != "") & (at >= 0), found)
+    r = rows.withColumn("_at", F.when(F.col("excerpt") != "", F.nullif(F.instr(F.lower("page"), F.lower("excerpt")), F.lit(0)) - 1))
+    r = r.withColumn("_spans", F.when(F.col("_at").isNotNull(), F.aggregate(sentence_pieces(F.col("page")), start, add, lambda acc: acc["all"])))
+    until = F.col("_at") + F.length("excerpt")
+    r = r.withColumn("_hit", F.transform("_spans", lambda s: (s["start"] <= until) & (s["end"] >= F.col("_at"))))
+    r = r.withColumn("_first", F.array_position("_hit", True).cast("int")).withColumn("_count", F.size(F.filter("_hit", lambda h: h)))
+    begin = F.element_at("_spans", F.greatest(F.col("_first") - 1, F.lit(1)))["start"]
+    end = F.element_at("_spans", F.least(F.col("_first") + F.col("_count"), F.size("_spans")))["end"]
+    sentences = F.transform(F.slice("_spans", F.col("_first"), F.col("_count")), lambda s: s["text"])
+    found = F.struct(F.col("_at").cast("long").alias("at"), sentences.alias("sentences"), F.col("page").substr(begin + 1, end - begin).alias("context"))
+    return r.withColumn("c", F.when(F.col("_at").isNotNull(), found)).drop("_at", "_spans", "_hit", "_first", "_count")
 
 
 def assess(rows: DataFrame) -> DataFrame:
@@ -54,16 +52,17 @@ def assess(rows: DataFrame) -> DataFrame:
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     r = rows.select("id", text("claim").alias("claim"), text("excerpt").alias("excerpt"), text("page").alias("page"))
-    r = r.withColumn("c", cited(F.col("page"), F.col("excerpt"))).withColumn("said", F.coalesce(F.array_join("c.sentences", " "), F.lit("")))
+    r = cite(r).withColumn("said", F.coalesce(F.array_join("c.sentences", " "), F.lit("")))
     r = r.withColumn("q", quantity_values(F.col("claim"))).withColumn("w", content_words(F.col("claim")))
-    outside = F.size(missing_quantities(F.col("q"), quantity_values(F.col("said")))) > 0
-    nowhere = outside & (F.size(missing_quantities(F.col("q"), quantity_values(F.col("page")))) > 0)
-    negated = has_words(F.col("claim"), NEGATION)
-    polarity = F.transform("c.sentences", lambda s: has_words(s, NEGATION))
+    r = r.withColumn("outside", F.size(missing_quantities(F.col("q"), quantity_values(F.col("said")))) > 0)
+    # the page is read for quantities only where the cited sentences lack one
+    r = r.withColumn("nowhere", F.when(F.col("outside"), F.size(missing_quantities(F.col("q"), quantity_values(F.col("page")))) > 0).otherwise(False))
+    r = r.withColumn("negated", has_words(F.col("claim"), NEGATION)).withColumn("polarity", F.transform("c.sentences", lambda s: has_words(s, NEGATION)))
+    outside, nowhere, negated = F.col("outside"), F.col("nowhere"), F.col("negated")
     closest = F.coalesce(F.array_max(F.transform("c.sentences", lambda s: word_dice(content_words(s), F.col("w")))), F.lit(0.0))
-    reversed_ = (closest >= RESTATED) & ((~negated & F.forall(polarity, lambda p: p)) | (negated & F.forall(polarity, lambda p: ~p)))
-    known = F.array_union(content_words(F.col("said")), F.array(*map(F.lit, FUNCTION_WORDS)))
-    strange = F.size(F.filter("w", lambda t: ~F.array_contains(known, t)))
+    opposite = (~negated & F.forall("polarity", lambda p: p)) | (negated & F.forall("polarity", lambda p: ~p))
+    reversed_ = opposite & (closest >= RESTATED)
+    strange = let(F.array_union(content_words(F.col("said")), F.array(*map(F.lit, FUNCTION_WORDS))), lambda known: F.size(F.filter("w", lambda t: ~F.array_contains(known, t))))
     notes = [
         (outside, "quantity_outside_citation"),
         (has_words(F.col("claim"), ABSOLUTE) & has_words(F.col("said"), MODALITY), "modality_overstated"),
