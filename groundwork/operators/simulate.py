@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwork.functions import LEFT, RIGHT, SPACES
+from groundwork.functions import LEFT, RIGHT, SPACES, let
 from groundwork.operators.pages import scope_words
 from groundwork.sources import once
 
@@ -45,16 +45,20 @@ def occurrences(text: Column, term: Column) -> Column:
 def key_term(text: Column) -> Column:
     """The longest run of three, two or one telling words that stands once in the sentence, the first of equals; null if there is none."""
     ws = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    bare = F.transform(ws, lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
+    stripped = F.transform(ws, lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
+    size = lambda t: F.length(F.replace(t, F.lit(" "), F.lit("")))
 
-    def runs_of(n: int) -> Column:
+    def runs_of(bare: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(bare) - (n - 1))
         return F.when(F.size(bare) >= n, F.transform(starts, lambda i: F.slice(bare, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
 
-    telling = F.filter(F.concat(runs_of(3), runs_of(2), runs_of(1)), lambda r: F.forall(r, lambda t: (F.length(t) >= 4) & ~F.lower(t).isin(STOP_WORDS)))
-    terms = F.filter(F.transform(telling, lambda r: F.array_join(r, " ")), lambda t: occurrences(F.lower(text), F.lower(t)) == 1)
-    size = lambda t: F.length(F.replace(t, F.lit(" "), F.lit("")))
-    return F.nullif(F.aggregate(terms, F.lit(""), lambda best, t: F.when(size(t) > size(best), t).otherwise(best)), F.lit(""))
+    def longest(bare: Column, low: Column) -> Column:
+        every = F.concat(runs_of(bare, 3), runs_of(bare, 2), runs_of(bare, 1))
+        telling = F.filter(every, lambda r: F.forall(r, lambda t: (F.length(t) >= 4) & ~F.lower(t).isin(STOP_WORDS)))
+        terms = F.filter(F.transform(telling, lambda r: F.array_join(r, " ")), lambda t: occurrences(low, F.lower(t)) == 1)
+        return F.aggregate(terms, F.lit(""), lambda best, t: F.when(size(t) > size(best), t).otherwise(best))
+
+    return F.nullif(let(stripped, lambda bare: let(F.lower(text), lambda low: longest(bare, low))), F.lit(""))
 
 
 def fingerprint(text: Column) -> Column:
