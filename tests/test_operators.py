@@ -70,6 +70,37 @@ def test_similar_pairs_by_brute_force(spark):
     assert got == want
 
 
+def dice_pairs(rows, threshold=0.85):
+    return {(a, b) for a, g, x in rows for b, h, y in rows if a < b and g == h and x and y and 2 * len(set(x) & set(y)) > threshold * (len(set(x)) + len(set(y)))}
+
+
+@pytest.mark.parametrize("common", [1, 20, 200_000])
+def test_similar_pairs_within_groups_whatever_counts_are_known(spark, monkeypatch, common):
+    monkeypatch.setattr(similarity, "COMMON", common)
+    rng = random.Random(5)
+    rows = [(f"i{n:03}", rng.choice(["g", "h", None]), rng.sample("abcdefghijklmnopqrst", rng.randint(8, 19))) for n in range(200)]
+    df = spark.createDataFrame(rows, "id string, g string, words array<string>")
+    assert {(r.id_a, r.id_b) for r in similarity.similar_pairs(df, F.col("words"), split=F.col("g")).collect()} == dice_pairs(rows)
+
+
+def shuffled_rows(spark):
+    """Rows written for shuffles by all stages of the session so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_similar_pairs_of_one_template_are_sifted_before_they_are_shuffled(spark):
+    # seven own words and one that only the template has are among the rarest eight of 29, so all texts of it meet
+    rows = [(f"t{n:04}", [f"w{k}" for k in range(22)] + [f"{n - n % 20 if k < 5 else n}.{k}" for k in range(7)]) for n in range(1000)]
+    df = spark.createDataFrame(rows, "id string, words array<string>")
+    before = shuffled_rows(spark)
+    got = {(r.id_a, r.id_b) for r in similarity.similar_pairs(df, F.col("words")).collect()}
+    assert got == {(f"t{a:04}", f"t{b:04}") for a in range(1000) for b in range(a + 1, a - a % 20 + 20)}
+    assert shuffled_rows(spark) - before < 200 * len(rows)
+
+
 def test_first_statements_compare_with_kept_rows_only(spark):
     rows = [("a", "g", 1, list("abcdefghij")), ("b", "g", 2, list("abcdefghik")), ("c", "g", 3, list("abcdefghlk")), ("d", "h", 1, list("abcdefghij")), ("e", "g", 4, None)]
     df = spark.createDataFrame(rows, "id string, g string, n int, words array<string>")
